@@ -104,7 +104,7 @@ def _pack_task(path: str, size: int, most: int, slack: int, end_id: int, with_id
         windows, made = Windows(size, most, slack), task << 32
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 3_000_000):
                 ids, ends = encoder.encode(texts[a:b])
                 for i in range(b - a):
                     own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id))
