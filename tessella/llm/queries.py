@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, repair, simhash, tokencount
+from . import ann, chat, langid, mixing, packing, quality, repair, simhash, tokencount, urls
 from .common import table, tokenizer_path
 
 BYTES, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -44,6 +44,26 @@ FROM chats
 """
 
 
+#: The rules (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+OP4 = r"""
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, coalesce(url, '') AS url, row_number() OVER () AS r FROM pages),
+a AS (SELECT page_id, r, strpos(url, '://') > 0 AS has, substr(url, strpos(url, '://') + 3) AS rest FROM u),
+b AS (SELECT page_id, r, CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM a),
+c AS (SELECT r, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC, h || p) AS k
+  FROM b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM b LEFT JOIN (SELECT * FROM c WHERE k = 1) USING (r)
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.judged(quality.ledger(table(spark, sf_dir, "documents"), "doc_id"))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,6 +89,10 @@ FROM a
 """
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -87,5 +111,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_chat, op5_quality, op7_language, op8_token_counts, op9_repair, op10_simhash)}
-ORACLE: dict[str, str] = {"op3_chat": OP3, "op5_quality": OP5}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_chat, op4_urls, op5_quality, op6_neighbours, op7_language, op8_token_counts, op9_repair, op10_simhash)}
+ORACLE: dict[str, str] = {"op3_chat": OP3, "op4_urls": OP4, "op5_quality": OP5}
