@@ -1,30 +1,61 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, mixing, packing.
+
+Each stage works on all that its predecessor kept; all but the last return the columns of documents.
+``run`` writes each stage's result as Parquet into the folder that driver and executors share and
+reads it again, so a lost executor costs no more than its own tasks.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import packing, simhash
-from tessella.llm.common import settled, table
+from tessella.llm import langid, mixing, packing, quality, simhash
+from tessella.llm.common import shared_dir, table
 from tessella.llm.queries import BYTES
 
+#: A text is no prose in any learned language beyond this code length; equal odds of all bytes cost 8.
+MOST_BITS_PER_BYTE = 6.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts that have no letter, whose language stays open, or that no language describes."""
+    model = langid.train(docs.filter(~langid.held_out()))
+    columns = docs.columns
+    judged = docs.withColumn("__p", langid.predicted(docs, model))
+    return judged.filter(f"__p.lang_pred <> 'und' and __p.score >= 0.5 and __p.bits_per_byte <= {MOST_BITS_PER_BYTE}").select(*(f"`{c}`" for c in columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that fail a rule of policy v1."""
+    return quality.filtered(docs, "v1")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
     return packing.pack(docs, BYTES)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("mixing", mix_sources), ("packing", pack)]
 
 #: Fingerprints, mixing by dynamic programming and packing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir))
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

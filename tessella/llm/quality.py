@@ -22,13 +22,13 @@ from .common import BLANKS, words
 #: The signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-#: Bit of each rule, in order; True where the document fails.
-RULES: dict[str, Column] = {
-    "few_words": F.expr("n_words < 50"),
-    "repeated_words": F.expr("100 * n_repeat_words > 50 * n_words"),
-    "symbols": F.expr("10 * n_symbols > n_words"),
-    "repeated_lines": F.expr("100 * n_dup_lines > 30 * n_lines"),
-    "word_length": F.expr("word_chars < 2 * n_words or word_chars > 15 * n_words"),
+#: Bit of each rule, in order: whether measurements fail it.
+RULES = {
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_words": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "repeated_lines": lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"],
+    "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
 }
 BASE = ("few_words", "repeated_words")
 #: Versions of the policy: the rules whose failure rejects a document.
@@ -63,33 +63,42 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(of(hashes))
 
 
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ws = docs.select(*keep, text.alias("__text"), F.transform(words(text), lambda w: F.xxhash64(w)).alias("__w"))
-    n = F.size("__w")
+def entry(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, and failures, with bit k set where rule k fails.
 
-    def window(i: Column) -> Column:
-        return F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    Every intermediate is bound as a lambda variable: wherever the optimizer moves this expression, it is evaluated once.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
 
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<bigint>"))
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return ws.select(
-        *keep,
-        n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace("__text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("__lines"),
-        _let(windows, _repeated).alias("n_repeat_words"),
-    ).select(*keep, "n_words", "word_chars", "n_symbols", "__lines.n_lines", "__lines.n_dup_lines", "n_repeat_words")
+    def of_words(ws: Column) -> Column:
+        n = F.size(ws)
+        windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(n.cast("long").alias("n_words"), _let(windows, _repeated).alias("n_repeat_words"))
+
+    def of_lines(lines: Column) -> Column:
+        n = F.size(lines)
+        return F.struct(n.cast("long").alias("n_lines"), (n - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
+
+    def judge(m: Column) -> Column:
+        values = {"n_words": m["w"]["n_words"], "word_chars": m["word_chars"], "n_symbols": m["n_symbols"], "n_lines": m["l"]["n_lines"], "n_dup_lines": m["l"]["n_dup_lines"], "n_repeat_words": m["w"]["n_repeat_words"]}
+        failed = F.lit(0).cast("long")
+        for k, rule in enumerate(RULES.values()):
+            failed = failed.bitwiseOR(F.when(rule(values), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*(v.alias(n) for n, v in values.items()), failed.alias("failures"))
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    measured = F.struct(
+        _let(F.transform(words(text), lambda w: F.xxhash64(w)), of_words).alias("w"),
+        F.length(F.regexp_replace(text, BLANKS, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _let(lines, of_lines).alias("l"),
+    )
+    return _let(measured, judge)
 
 
 def ledger(docs: DataFrame, *keep: str) -> DataFrame:
-    """``measured`` and failures, with bit k set where rule k fails."""
-    failed = F.lit(0).cast("long")
-    for k, rule in enumerate(RULES.values()):
-        failed = failed.bitwiseOR(F.when(rule, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measured(docs, *keep).withColumn("failures", failed)
+    """``keep`` columns, measurements and failures."""
+    return docs.select(*keep, entry(F.col("text")).alias("__e")).select(*keep, "__e.*")
 
 
 def judged(entries: DataFrame, policy: str = "v1") -> DataFrame:
@@ -104,3 +113,8 @@ def ablations(entries: DataFrame) -> DataFrame:
     cases = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(bits(rules)).alias("mask"), F.lit(bits(rules) & ~bits((r,))).alias("without")) for p, rules in POLICIES.items() for r in rules))
     passes = lambda mask: F.when(F.col("failures").bitwiseAND(F.col(mask)) == 0, F.col("n")).otherwise(F.lit(0))
     return counts.select("failures", "n", F.inline(cases)).groupBy("policy", "rule").agg(F.sum(passes("mask")).alias("kept"), F.sum(passes("without")).alias("kept_without"))
+
+
+def filtered(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The documents that a policy keeps."""
+    return docs.filter(entry(F.col("text"))["failures"].bitwiseAND(F.lit(bits(POLICIES[policy]))) == 0)
