@@ -15,6 +15,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,16 @@ LETTER, NUMBER, SPACE, OTHER, END, UNSURE = 1, 2, 3, 0, 4, 5
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level vocabulary: itself where it prints, else the next free one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Class of every code point; what is unassigned here may be assigned in the library's tables."""
@@ -134,17 +145,14 @@ class ByteBpe:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        ids: list[np.ndarray] = []
-        count = np.zeros(len(pieces), np.int64)
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            e = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(e.ids, np.uint32))
-            count[a : a + len(part)] += np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+        """Asks the library's model for the ids of pieces; a byte stands for itself as a letter there."""
+        ask, letter = self.library.model.tokenize, BYTE_LETTERS
+        found = [[t.id for t in ask(p.encode().decode("latin1").translate(letter))] for p in pieces]
+        count = np.fromiter(map(len, found), np.int64, len(found))
         base = len(self.known)
-        self.known.update((p, base + i) for i, p in enumerate(pieces))
+        self.known.update(zip(pieces, range(base, base + len(pieces))))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, joined, as uint32; bounds of each text's ids, one more than texts)."""
@@ -160,11 +168,11 @@ class ByteBpe:
         whole.update(bad.tolist())
         pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(raw)).dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            self._learn(new)
-        of_word = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        of_word = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(of_word < 0)
+        if len(new):
+            of_word[new] = len(self.known) + np.arange(len(new))
+            self._learn([words[k] for k in new.tolist()])
         piece = of_word[pieces.indices.to_numpy()]
         size = self.at[piece + 1] - self.at[piece]
         size[marks] = 0
