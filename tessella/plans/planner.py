@@ -23,7 +23,7 @@ from ..model import Measure, MeasureFilter, Metric, Model
 from ..operators import aggregates, windows
 from ..operators.filters import condition, name_of
 from .graph import Graph
-from .query import Dim, FilterGroup, OrderBy, Query, QueryFilter, Select, dim
+from .query import Dim, FilterGroup, OrderBy, Query, QueryFilter, Select, dim, leaves_of
 from .scope import SEP, Scope, q
 
 Filters = list[QueryFilter | FilterGroup]
@@ -39,10 +39,6 @@ class Plan:
     warnings: list[str] = field(default_factory=list)
 
 
-def leaves(filters: Filters) -> list[QueryFilter]:
-    return [x for f in filters for x in (leaves(f.filters) if isinstance(f, FilterGroup) else [f])]
-
-
 class Planner:
     def __init__(self, model: Model, tables: Callable, query: Query, plan: Plan | None = None):
         self.model, self.tables, self.query = model, tables, query
@@ -112,7 +108,7 @@ class Planner:
         raise SemanticError("UNKNOWN_FIELD", f"{name!r} is no dimension, measure, metric or Object.Column")
 
     def filter_objects(self, filters: Filters) -> set[str]:
-        return {x for f in leaves(filters) for x in self._filter_objects(f)}
+        return {x for f in leaves_of(filters) for x in self._filter_objects(f)}
 
     def _filter_objects(self, f: QueryFilter) -> set[str]:
         if (found := self.field(f.field)) is None:
@@ -496,7 +492,7 @@ class Planner:
     def in_context(self, df: DataFrame, m: Measure, filters: Filters) -> DataFrame:
         """A measure under its own WHERE: planned as a query of its own and joined back on the dimensions of its grain."""
         fc = m.filter_context
-        names = lambda f: {x.field for x in leaves([f])}
+        names = lambda f: {x.field for x in leaves_of([f])}
         if fc.mode.upper() == "FIXED":
             kept = [f for f in filters if names(f) & set(fc.keep_only)]
         elif fc.keep_only:
@@ -537,7 +533,7 @@ class Planner:
         if self.query.dimensions_exclude:
             return self.ordered(self.excluded(), [d.label for d in self.dims])
         wanted = list(dict.fromkeys(s.measures))
-        hidden = [f.field for f in leaves(self.query.having) if f.field not in wanted and f.field not in s.dimensions]
+        hidden = [f.field for f in leaves_of(self.query.having) if f.field not in wanted and f.field not in s.dimensions]
         hidden += [o.field for o in self.query.order_by if not str(o.field).isdigit() and o.field not in wanted and (o.field in self.model.measures or o.field in self.model.metrics) and o.field not in hidden]
         names = wanted + [h for h in dict.fromkeys(hidden)]
         base = list(dict.fromkeys(b for n in names for b in self.metric_measures(n)))

@@ -107,3 +107,8 @@ def dim(raw: Any) -> Dim:
 def _named(raw: str) -> tuple[str, str | None]:
     name, colon, grain = raw.rpartition(":")
     return (name, grain) if colon and grain in UNITS else (raw, None)
+
+
+def leaves_of(filters: list) -> list[QueryFilter]:
+    """All single conditions, out of all groups."""
+    return [x for f in filters for x in (leaves_of(f.filters) if isinstance(f, FilterGroup) else [f])]

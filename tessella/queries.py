@@ -274,3 +274,14 @@ QUERIES["nested_unnest"] = lambda spark, sf_dir: nested_engine(spark, sf_dir).qu
 ORACLE["nested_unnest"] = 'SELECT o_orderstatus AS "Status", CAST(sum(CAST(l_quantity AS DECIMAL(8,2))) AS DECIMAL(18,2)) AS "Item Quantity", count(DISTINCT l_partkey) AS "Parts" FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1'
 QUERIES["nested_with_parent_measure"] = lambda spark, sf_dir: nested_engine(spark, sf_dir).query({"select": {"dimensions": ["Status"], "measures": ["Item Quantity", "Value"]}})
 ORACLE["nested_with_parent_measure"] = 'SELECT o_orderstatus AS "Status", CAST(sum(q) AS DECIMAL(18,2)) AS "Item Quantity", CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS "Value" FROM orders LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(8,2))) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1'
+
+# the BI front end
+for _name, _text, _sql in (
+    ("where_having_order", "SELECT \"Region Name\", Revenue FROM trade WHERE segment = 'BUILDING' AND revenue > 100 GROUP BY 1 ORDER BY 2 DESC LIMIT 3", f"SELECT r_name AS \"Region Name\", {REV} AS \"Revenue\" FROM lines WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING sum(rev) > 100 ORDER BY 2 DESC LIMIT 3"),
+    ("rollup", 'SELECT "Region Name", MEASURE("Order Value") FROM trade GROUP BY ROLLUP("Region Name")', f'SELECT r_name AS "Region Name", {VAL} AS "Order Value", grouping(r_name) AS "_g_Region Name" FROM ords GROUP BY ROLLUP(r_name)'),
+    ("raw", "SELECT DISTINCT \"Customer\".\"Name\" FROM trade WHERE \"Region Name\" IN ('ASIA', 'EUROPE') AND NOT \"Customer\".\"Cust Key\" BETWEEN 5 AND 500", "SELECT DISTINCT c_name AS \"Customer.Name\" FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND NOT c_custkey BETWEEN 5 AND 500"),
+    ("or_condition", "SELECT \"Nation Name\", Orders FROM trade WHERE Segment = 'BUILDING' OR \"Region Name\" IS NULL OR \"Order Status\" LIKE 'F%'", "SELECT n_name AS \"Nation Name\", count(*) AS \"Orders\" FROM ords WHERE c_mktsegment = 'BUILDING' OR r_name IS NULL OR o_orderstatus LIKE 'F%' GROUP BY n_name"),
+):
+    QUERIES[f"sql_{_name}"] = lambda spark, sf_dir, text=_text: engine(spark, sf_dir).sql(text)
+    used_parts = [PARTS[p] for p in PARTS if f" {p}" in _sql]
+    ORACLE[f"sql_{_name}"] = (f"WITH {', '.join(used_parts)} " if used_parts else "") + _sql
