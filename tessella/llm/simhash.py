@@ -238,8 +238,8 @@ def links(prints: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_prints = batch.column(0).to_numpy().view(np.uint64)
-            for a in range(0, len(all_prints), 4096):
-                part = all_prints[a : a + 4096]
+            for a in range(0, len(all_prints), 1024):
+                part = all_prints[a : a + 1024]
                 key, row = fuzzy_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "fp"])
 
