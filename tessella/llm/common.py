@@ -34,6 +34,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's own default would hold many long texts at once, on either side.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Asks for small Arrow batches in this session, unless it has asked for smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := spark.conf.get(key, None)) is None or not 0 < _bytes(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(text: str) -> int:
+    text = text.strip().lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
+    return int(text[:-1] if scale > 1 else text or 0) * scale
+
+
 def slices(texts: list[str], chars: int = 1_000_000, rows: int = 20_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about ``chars`` characters, so that a worker's arrays stay small."""
     a, size = 0, 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 ORDER = 3
 #: Labelled rows to learn from, for each language (on average: rows are taken by hash).
@@ -153,7 +153,7 @@ def build(languages: list[str], language: np.ndarray, gram: np.ndarray, count: n
 
 def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows (doc_id, text, ``label``) with neither text nor label null; the caller leaves out what is held out."""
-    spark = docs.sparkSession
+    lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang")).filter("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -185,6 +185,7 @@ RESULT = "struct<lang_pred:string,score:double,bits_per_byte:double>"
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column of ``RESULT`` for a text column."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pa.Array) -> pa.Array:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .bytebpe import shared_encoder
-from .common import shared_dir, slices
+from .common import lean, shared_dir, slices
 
 SHARD_IDS = 1 << 19
 FIRST = 50_257  # ids below are terminals
@@ -162,6 +162,7 @@ def _write_task(tokenizer: str, end_id: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Writes the shards of all documents to a folder that all executors share."""
+    lean(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_write_task(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, slices
+from .common import lean, settled
 from .graph import components
 
 #: The generator polynomial of the binary Golay code, the cut of a fingerprint (shift, bits).
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 4, *keep: str) -> DataFrame:
         found = np.fromiter((fingerprint(t, width) for t in column.to_pylist()), np.uint64, len(column))
         return pa.array(found.view(np.int64))
 
+    lean(docs.sparkSession)
     return docs.select(*(keep or ("doc_id",)), F.arrow_udf(run, "long")("text").alias("fp"))
 
 

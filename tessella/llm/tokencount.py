@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
@@ -144,4 +146,5 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
+    lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
