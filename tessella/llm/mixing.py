@@ -113,7 +113,7 @@ def mix(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIG
     spark = docs.sparkSession
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long") if size is None else size
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), hashed.alias("h"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("bucket"), *keep)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), hashed.alias("h"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("bucket"), F.struct(F.lit(0).alias("__"), *(f"`{c}`" for c in keep)).alias("kept"))
     rows = settled(rows)
     counts = settled(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r[0]: int(r[1] or 0) for r in counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size"))).limit(MOST_SOURCES + 1).collect()}
@@ -134,9 +134,9 @@ def mix(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIG
     share = settled(upto.select("source", "size", "bucket", F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("share"), "n").filter("share > 0"))
     dealt = rows.join(share, ["source", "size", "bucket"], "left")
     whole, none = F.col("share") == F.col("n"), F.col("share").isNull()
-    partly = dealt.filter(~whole & ~none).withColumn("r", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", *keep))).withColumn("once", (F.col("r") <= F.col("share")).cast("long")).drop("r")
+    partly = dealt.filter(~whole & ~none).withColumn("r", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "kept"))).withColumn("once", (F.col("r") <= F.col("share")).cast("long")).drop("r")
     marked = dealt.filter(none | whole).withColumn("once", F.when(whole, 1).otherwise(0).cast("long")).unionByName(partly)
-    return marked.join(by_source.drop("budget"), "source").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("once"))).alias("taken"), *keep)
+    return marked.join(by_source.drop("budget"), "source").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("once"))).alias("taken"), *(F.col("kept").getField(c).alias(c) for c in keep))
 
 
 def mixed(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIGHTS) -> DataFrame:
