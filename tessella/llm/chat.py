@@ -91,6 +91,10 @@ def _turn(role: Column, text: Column, roles: tuple = ()) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
+def _turn_of(layout: Layout):
+    return lambda x: _turn(x[layout.role], x[layout.text], layout.roles)
+
+
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, turns) of a table in any declared layout."""
     layout = layout_of(field_paths(df.schema))
@@ -98,7 +102,7 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
         rows = df.select(F.col(conv_id).alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), _turn(F.col("role"), F.col("text")).alias("said")).alias("row"))
         return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows")).select("conv_id", F.transform("rows", lambda r: r["said"]).alias("turns"))
     if layout.items:
-        turns = F.transform(F.coalesce(F.col(layout.items), F.array().cast(df.schema[layout.items].dataType)), lambda x: _turn(x[layout.role], x[layout.text], layout.roles))
+        turns = F.transform(F.coalesce(F.col(layout.items), F.array().cast(df.schema[layout.items].dataType)), _turn_of(layout))
     else:
         turns = F.array(*(_turn(F.lit(role), F.col(name)) for role, name in layout.fields if name in df.columns))
         turns = F.filter(turns, lambda x: (x["role"] != "user") | (x["text"] != "")) if sum(r == "user" for r, _ in layout.fields) > 1 else turns
@@ -127,7 +131,7 @@ def turns_of_json(json: Column) -> Column:
     for layout in (x for x in LAYOUTS if not x.rows):
         if layout.items:
             read = F.from_json(json, f"{layout.items} array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-            turns = F.transform(read[layout.items], lambda x, y=layout: _turn(x[y.role], x[y.text], y.roles))
+            turns = F.transform(read[layout.items], _turn_of(layout))
         else:
             read = F.from_json(json, ", ".join(f"`{n}` string" for _, n in layout.fields))
             turns = F.array(*(_turn(F.lit(role), read[n]) for role, n in layout.fields))
