@@ -226,3 +226,15 @@ def test_components_of_paths_and_stars(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [[words[k] for k in rng.integers(0, 4000, 300)] for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:15]):  # one word in 300 changed: 5 of 296 shingles
+        rows.append((100 + i, " ".join([*t[:150], "other", *t[151:]])))
+        rows.append((200 + i, " ".join(t)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(30)) and not kept & set(range(200, 215)) and len(kept & set(range(100, 115))) <= 1
