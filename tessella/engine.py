@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -33,7 +34,11 @@ class Engine:
 
     def compile(self, source: Query | dict | str) -> Compiled:
         asked, plan = query(source), Plan()
-        return Compiled(Planner(self.model, self.tables, asked, plan).build(), plan, asked)
+        df = Planner(self.model, self.tables, asked, plan).build()
+        for kept in plan.kept:
+            weakref.finalize(df, kept.unpersist).atexit = False
+        plan.kept = []
+        return Compiled(df, plan, asked)
 
     def query(self, source: Query | dict | str) -> DataFrame:
         """The result of a query: labels in, a DataFrame out."""

@@ -13,8 +13,8 @@ from ..model import Measure, Model
 PAIRS = ("corr", "covar_pop", "covar_samp", "regr_slope", "regr_intercept")
 #: What repeated rows don't change.
 INSENSITIVE = ("min", "max", "count_distinct", "any_value")
-#: How an outer aggregate joins results of inner groups.
-OUTER = {"sum": "sum", "count": "sum", "min": "min", "max": "max"}
+#: How an outer aggregate joins results of inner groups; averages are joined from their sums and counts.
+OUTER = {"sum": "sum", "count": "sum", "min": "min", "max": "max", "any_value": "any_value", "avg": ""}
 KNOWN = ("sum", "count", "count_distinct", "avg", "min", "max", "any_value", "median", "mode", "listagg", "stddev", "stddev_pop", "variance", "var_pop", *PAIRS)
 
 

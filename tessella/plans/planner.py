@@ -37,6 +37,7 @@ class Plan:
     base: str | None = None
     steps: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)  # persisted for as long as the result is held
 
 
 class Planner:
@@ -358,14 +359,23 @@ class Planner:
         if len(dedup) != 1 or any(m.aggregation not in aggregates.OUTER or m.distinct for m in main):
             return None
         (root, ms), = dedup.items()
-        inner = [aggregates.aggregate(m, arg(m)).alias(m.name) for m in main]
+        inner, outer = [], []
+        for m in main:
+            if m.aggregation == "avg":
+                total, n = f"{m.name}{SEP}sum", f"{m.name}{SEP}n"
+                inner += [F.sum(q(arg(m)[0])).alias(total), F.count(q(arg(m)[0])).alias(n)]
+                top = F.sum(q(total)).cast("decimal(38,0)") if self.is_whole(m) else F.sum(q(total))
+                joined = top / F.nullif(F.sum(q(n)), F.lit(0))
+            else:
+                inner.append(aggregates.aggregate(m, arg(m)).alias(m.name))
+                joined = getattr(F, aggregates.OUTER[m.aggregation])(q(m.name))
+            outer.append(self.finished(m, joined).alias(m.name))
         firsts = [F.any_value(q(a)).alias(a) for m in ms for a in arg(m)]
         part = rows.groupBy(*map(q, labels), *map(q, key_names[root])).agg(*inner, *firsts)
         # rows without a key form one group: what they say about the object doesn't count
         there = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in key_names[root]])
         for m in ms:
             part = part.withColumns({a: F.when(there, q(a)) for a in arg(m)})
-        outer = [self.finished(m, getattr(F, aggregates.OUTER[m.aggregation])(q(m.name))).alias(m.name) for m in main]
         own = [self.finished(m, aggregates.aggregate(m, arg(m), self.is_whole(m))).alias(m.name) for m in ms]
         out = part.groupBy(*map(q, labels)).agg(*outer, *own)
         counts = [m.name for m in main if m.aggregation == "count"]
@@ -661,7 +671,9 @@ class Planner:
             raise SemanticError("PERIOD_MIX", "one query compares along one time dimension and grain")
         if time not in [d.label for d in self.dims]:
             raise SemanticError("TIME_DIMENSION_NEEDED", f"{time} must be selected")
-        cur = self.grouped(base, self.query.where, {time: first.grain})
+        # read for the spine and once for each offset, aggregated once
+        cur = self.grouped(base, self.query.where, {time: first.grain}).persist()
+        self.plan.kept.append(cur)
         kind = cur.schema[time].dataType.simpleString()
         step = {"year": "interval 1 year", "quarter": "interval 3 month", "month": "interval 1 month", "week": "interval 7 day", "day": "interval 1 day", "hour": "interval 1 hour", "minute": "interval 1 minute", "second": "interval 1 second"}[first.grain]
         spine = cur.agg(F.min(q(time)).alias("a"), F.max(q(time)).alias("b")).select(F.explode(F.expr(f"sequence(a, b, {step})")).alias(f"{SEP}time"))
