@@ -74,9 +74,10 @@ class Scope:
 
     def scan(self, obj: str, instance: str) -> DataFrame:
         o, df = self.model.data_objects[obj], self.tables(self.model.data_objects[obj])
-        stored = [q(c.code or c.name).alias(f"{instance}{SEP}{c.name}") for c in o.columns.values() if c.expression is None]
         arrays = {x.nested_in.column.split(".")[0] for x in self.model.data_objects.values() if x.nested_in and x.nested_in.data_object == obj}
-        return df.select(*stored, *(q(a).alias(f"{instance}{SEP}{SEP}{a}") for a in sorted(arrays)))
+        stored = {f"{instance}{SEP}{c.name}": c.code or c.name for c in o.columns.values() if c.expression is None} | {f"{instance}{SEP}{SEP}{a}": a for a in sorted(arrays)}
+        quoted = lambda name: "`" + name.replace("`", "``") + "`"
+        return df.selectExpr(*(f"{quoted(code)} AS {quoted(name)}" for name, code in stored.items()))
 
     def unnested(self, df: DataFrame, parent: str, child: str, instance: str) -> DataFrame:
         """The elements of the parent's array; a parent without any keeps one row of nulls."""

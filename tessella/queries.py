@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+_ENGINES: WeakKeyDictionary[SparkSession, dict[tuple, Engine]] = WeakKeyDictionary()
+
+
 def engine(spark: SparkSession, sf_dir: str, **settings) -> Engine:
-    made = demo.document()
-    if settings:
-        made["settings"] = settings
-    return Engine(made, folder(spark, sf_dir))
+    """The demo model over a folder; a session reads its schemas once."""
+    known, key = _ENGINES.setdefault(spark, {}), (sf_dir, *sorted(settings.items()))
+    if key not in known:
+        made = demo.document()
+        if settings:
+            made["settings"] = settings
+        known[key] = Engine(made, folder(spark, sf_dir))
+    return known[key]
 
 
 #: The joined rows that SQL starts from.
