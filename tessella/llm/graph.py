@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import settled
 
 
+#: Edges are few beside what they were found in.
+FEWER = 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node it is linked with.
 
@@ -17,19 +21,19 @@ def components(edges: DataFrame) -> DataFrame:
     sides, so a node with very many edges is split.
     Nodes of any orderable type; no edges give no rows.
     """
-    edges, labels = settled(edges.filter("a <> b").select("a", "b").distinct()), None
+    edges, labels = settled(edges.filter("a <> b").select("a", "b").distinct(), FEWER), None
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), FEWER)
         while True:
-            further = settled(_relabel(parent, parent))
+            further = settled(_relabel(parent, parent), FEWER)
             parent = further.select("node", "root")
             if further.filter("moved").isEmpty():
                 break
-        labels = parent if labels is None else settled(_relabel(labels, parent).select("node", "root"))
+        labels = parent if labels is None else settled(_relabel(labels, parent).select("node", "root"), FEWER)
         for end in ("a", "b"):
             edges = edges.join(parent, edges[end] == parent["node"], "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
-        edges = settled(edges.filter("a <> b").distinct())
+        edges = settled(edges.filter("a <> b").distinct(), FEWER)
     return labels
 
 

@@ -115,7 +115,7 @@ def mix(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIG
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), hashed.alias("h"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("bucket"), F.struct(F.lit(0).alias("__"), *(f"`{c}`" for c in keep)).alias("kept"))
     rows = settled(rows)
-    counts = settled(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    counts = settled(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), 4)
     sizes = {r[0]: int(r[1] or 0) for r in counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size"))).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -124,14 +124,14 @@ def mix(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIG
     # a null source has no equal in a join: it gets a name that starts as no source's name does
     name = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "source"))
     by_source = spark.createDataFrame([("null" if s is None else f"={s}", *x, x[1] - x[2] * x[0]) for s, *x in plan], "source string, source_size long, target double, whole int, budget double") if plan else spark.createDataFrame([], "source string, source_size long, target double, whole int, budget double")
-    by_source = settled(by_source)
+    by_source = settled(by_source, 16)
     counts, rows = counts.withColumn("source", name), rows.withColumn("source", name)
     lengths = counts.groupBy("source", "size").agg(F.sum("n").alias("n")).join(by_source.select("source", "budget"), "source")
-    chosen = settled(lengths.groupBy("source").applyInPandas(_fit_source, "source string, size long, k long"))
+    chosen = settled(lengths.groupBy("source").applyInPandas(_fit_source, "source string, size long, k long"), 16)
     # of each (source, size): buckets before the k-th document are taken whole, its own in part
     before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     upto = counts.join(chosen, ["source", "size"]).withColumn("before", F.coalesce(before, F.lit(0)))
-    share = settled(upto.select("source", "size", "bucket", F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("share"), "n").filter("share > 0"))
+    share = settled(upto.select("source", "size", "bucket", F.greatest(F.lit(0), F.least("n", F.col("k") - F.col("before"))).alias("share"), "n").filter("share > 0"), 8)
     dealt = rows.join(share, ["source", "size", "bucket"], "left")
     whole, none = F.col("share") == F.col("n"), F.col("share").isNull()
     partly = dealt.filter(~whole & ~none).withColumn("r", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "kept"))).withColumn("once", (F.col("r") <= F.col("share")).cast("long")).drop("r")

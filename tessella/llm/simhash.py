@@ -270,7 +270,7 @@ def links(prints: DataFrame, n: int = 1, bits: int = MOST_BITS) -> DataFrame:
 
     schema = ", ".join(["key int", *(f"{x} long" for x in names(n))])
     by_key = prints.select(*names(n)).mapInArrow(keys, schema).repartition("key").sortWithinPartitions("key")
-    found = settled(by_key.mapInArrow(search.run, search.ddl))
+    found = settled(by_key.mapInArrow(search.run, search.ddl), 4)
     edges = found.filter("key is null").drop("key")
     crowded = found.filter("key is not null")
     if not crowded.isEmpty():
@@ -281,7 +281,7 @@ def links(prints: DataFrame, n: int = 1, bits: int = MOST_BITS) -> DataFrame:
 def near_duplicates(rows: DataFrame, n: int = 1, bits: int = MOST_BITS) -> DataFrame:
     """(fp, ..., component_id) for every distinct row of fingerprints of ``rows`` (doc_id, fp, ...)."""
     own = names(n)
-    least = settled(rows.groupBy(*own).agg(F.min("doc_id").alias("low")))
+    least = settled(rows.groupBy(*own).agg(F.min("doc_id").alias("low")), 4)
     # Nodes sort by smallest doc_id; a fingerprint without any comes last.
     node = F.struct(F.coalesce("low", F.lit(2**63 - 1)).alias("low"), *own)
     edges = links(least, n, bits)
@@ -290,7 +290,7 @@ def near_duplicates(rows: DataFrame, n: int = 1, bits: int = MOST_BITS) -> DataF
         edges = edges.join(named, [f"{end}{k}" for k in range(n)])
     root = components(edges.select("a", "b")).select(*(F.col("node").getField(x).alias(x) for x in own), F.col("root.low").alias("root"))
     found = least.join(root, own, "left").select(*own, F.coalesce(F.when(F.col("root") < 2**63 - 1, F.col("root")), "low").alias("component_id"))
-    return settled(found)
+    return settled(found, 4)
 
 
 def simhash_components(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -310,5 +310,5 @@ def keep_one(docs: DataFrame, width: int = 5, prints: int = 2, bits: int = 22) -
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "__row"))["__row"]
     named = rows.join(near_duplicates(rows, prints, bits), names(prints), "left")
     # groups are named by a fingerprint too: those without any doc_id have no other name
-    stays = settled(named.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))).agg(first.alias("__row")).select("__row"))
+    stays = settled(named.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))).agg(first.alias("__row")).select("__row"), 4)
     return marked.join(stays, "__row", "left_semi").drop("__row")
