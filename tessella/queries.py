@@ -293,3 +293,32 @@ for _name, _text, _sql in (
     QUERIES[f"sql_{_name}"] = lambda spark, sf_dir, text=_text: engine(spark, sf_dir).sql(text)
     used_parts = [PARTS[p] for p in PARTS if f" {p}" in _sql]
     ORACLE[f"sql_{_name}"] = (f"WITH {', '.join(used_parts)} " if used_parts else "") + _sql
+
+
+# variants of the model: a static filter, a secondary path, one object in two roles
+def variant(spark: SparkSession, sf_dir: str, change: Callable[[dict], None]) -> Engine:
+    made = demo.document()
+    change(made)
+    return Engine(made, folder(spark, sf_dir))
+
+
+def _static_filter(made: dict) -> None:
+    made["filters"] = [{"dataObject": "Orders", "column": "Order Status", "operator": "inlist", "values": ["F", "O"]}]
+
+
+def _secondary_path(made: dict) -> None:
+    made["dataObjects"]["Lineitem"]["joins"].append({"joinType": "many-to-one", "joinTo": "Supplier", "columnsFrom": ["Part Key"], "columnsTo": ["Supp Key"], "secondary": True, "pathName": "by part"})
+
+
+def _roles(made: dict) -> None:
+    made["dataObjects"]["Supplier"]["joins"] = [{"joinType": "many-to-one", "joinTo": "Nation", "columnsFrom": ["Nation Key"], "columnsTo": ["Nation Key"]}]
+    made["dimensions"] |= {f"{x} Nation": {"dataObject": "Nation", "column": "Name", "via": x} for x in ("Customer", "Supplier")}
+
+
+_BY_REGION = {"select": {"dimensions": ["Region Name"], "measures": ["Orders"]}}
+QUERIES["static_model_filter"] = lambda spark, sf_dir: variant(spark, sf_dir, _static_filter).query(_BY_REGION)
+ORACLE["static_model_filter"] = f"WITH {ORDERS} SELECT r_name AS \"Region Name\", count(*) AS \"Orders\" FROM ords WHERE o_orderstatus IN ('F', 'O') GROUP BY 1"
+QUERIES["join_secondary_path"] = lambda spark, sf_dir: variant(spark, sf_dir, _secondary_path).query({"select": {"dimensions": ["Supplier Region Name"], "measures": ["Quantity"]}, "usePathNames": [{"source": "Lineitem", "target": "Supplier", "pathName": "by part"}]})
+ORACLE["join_secondary_path"] = 'SELECT r_name AS "Supplier Region Name", CAST(sum(CAST(l_quantity AS DECIMAL(8,2))) AS DECIMAL(18,2)) AS "Quantity" FROM lineitem LEFT JOIN supplier ON l_partkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1'
+QUERIES["join_via_two_roles"] = lambda spark, sf_dir: variant(spark, sf_dir, _roles).query({"select": {"dimensions": ["Customer Nation", "Supplier Nation"], "measures": ["Quantity"]}, "where": [{"field": "Customer Nation", "op": "starts_with", "value": "NATION_1"}]})
+ORACLE["join_via_two_roles"] = f"WITH {LINES} SELECT n_name AS \"Customer Nation\", sn_name AS \"Supplier Nation\", CAST(sum(qty) AS DECIMAL(18,2)) AS \"Quantity\" FROM lines WHERE starts_with(n_name, 'NATION_1') GROUP BY 1, 2"
