@@ -36,7 +36,18 @@ class Words(dict):
         self.counter = counter
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if word[:1] == "\n":
+        k, pairs = len(word), self.counter.pairs
+        while k > 1 and word[k - 2 : k] not in pairs:
+            k -= 1
+        if 0 < k < len(word):
+            # no piece holds two characters in a row from here on, so each stands alone
+            new, counts = word[:k] not in self, list(self[word[:k]])
+            for c in word[k:]:
+                counts.append(counts[-1] + (1 if c in self.counter.piece else len(c.encode())))
+            found = tuple(counts)
+            if new:
+                return found
+        elif word[:1] == "\n":
             found = (0, *(1 + n for n in self.counter.solve(word[1:])))
         else:
             found = self.counter.solve(MARK + word)
@@ -58,6 +69,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.piece))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.piece):
             raise ValueError("the vocabulary has pieces that cross words")
+        self.pairs = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.memo, self.apart, self.words = memo, {}, Words(self)
 
     def stay_apart(self, a: str, b: str) -> bool:

@@ -121,3 +121,8 @@ def test_shards_round_trip(request, spark, name, monkeypatch):
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         start += len(ids)
     assert got == want
+
+
+def test_counts_of_long_runs_of_signs():
+    for text in ("😀" * 5000, "a" + "Ａ!" * 3000, "\n" * 4000 + "x", "!?" * 3000 + " end.", "日本語" * 2000):
+        assert COUNTER.count(text) == len(MODEL.encode(text))
