@@ -28,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def settled(df: DataFrame, fewer: int = 1) -> DataFrame:
+#: Files that a checkpoint may always have.
+LEAST_FILES = 48
+
+
+def settled(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFrame:
     """The same rows, read from a checkpoint in the shared folder: lineage ends there and lost executors cost nothing.
 
     A result much smaller than what was shuffled for it is written as so many times fewer files.
@@ -36,13 +40,10 @@ def settled(df: DataFrame, fewer: int = 1) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     if fewer > 1:
-        df = df.coalesce(max(LEAST_FILES, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
+        df = df.coalesce(max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     return df.checkpoint(eager=True)
 
 
-LEAST_FILES = 12
-
-
 #: Bytes of a batch that goes to a Python worker; Spark's own default would hold many long texts at once, on either side.
 BATCH_BYTES = 4 << 20
 
