@@ -9,7 +9,15 @@ all links together; each link is then verified on the fingerprints.
 
 Documents may carry several fingerprints, with seeds 42, 43, ...: then keys of any of them bring pairs
 together, and a link is up to ``bits`` differences in all of them together.  With one fingerprint and
-up to 4 bits every link is found; with more bits it is a matter of chance, figures in the README.
+up to 4 bits every link is found; with more bits it is a matter of chance.
+
+``keep_one`` leaves nothing to chance and takes no fingerprints: its links are all pairs whose sets of
+shingles have a Jaccard index of ``least`` or more.  Put every set into one common order.  Sets of n
+and m shingles that agree so share t * max(n, m) at least, so their first common shingle is among the
+first n - ceil(t * n) + 1 of one and the first m - ceil(t * m) + 1 of the other: these are the keys.
+From it on, no more than the rest of either set is common, which most chance pairs fail.  Candidates
+are then decided on the whole sets.  The order has shingles last that a sample shows to be frequent;
+any order gives the same links.  Shingles are compared by their 64-bit hashes.
 
 Copies meet first, as one fingerprint.  Within the rows of a key, a search that never looks at a
 fingerprint again once it is linked gives a spanning forest, not all pairs.  Keys with more rows than
@@ -28,8 +36,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import lean, settled
 from .graph import components
@@ -44,21 +53,27 @@ MOST_BITS = 4
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
-    """SimHash of the word shingles of a text under XXH64."""
+def shingles(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the word shingles of a text in their order; a shorter text is one shingle, a blank one none."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(parts) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(parts), seed)], np.uint64)
-    else:
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        begins = np.concatenate([[0], ends[:-1]])[: len(parts) - width + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter([digest(joined[a:b], seed) for a, b in zip(begins.tolist(), (ends[width - 1 :] - 1).tolist())], np.uint64, len(begins))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), seed)], np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    begins = np.concatenate([[0], ends[:-1]])[: len(parts) - width + 1]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(joined[a:b], seed) for a, b in zip(begins.tolist(), (ends[width - 1 :] - 1).tolist())], np.uint64, len(begins))
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
+    """SimHash of the word shingles of a text under XXH64."""
+    hashes = shingles(text, width, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 65_536):
         part = hashes[a : a + 65_536]
@@ -299,16 +314,105 @@ def simhash_components(docs: DataFrame, width: int = 4) -> DataFrame:
     return rows.join(near_duplicates(rows), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, prints: int = 2, bits: int = 22) -> DataFrame:
+#: Documents of the sample for frequent shingles, how many of them a frequent one is in, and how many are remembered.
+SAMPLE, OFTEN, FREQUENT = 16_384, 3, 1 << 16
+
+
+def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in ascending order, count of each) of the frequent ones in a sample of ``texts`` (text, __row)."""
+    run = F.arrow_udf(lambda column: _lists([np.unique(shingles(t, width)) for t in column.to_pylist()]), "array<long>")
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    part = F.pmod(F.xxhash64(F.lit("frequent"), "__row"), F.lit(1 << 30)) / (1 << 30)
+    count = texts.filter(part < share).select(F.explode(run("text")).alias("key")).groupBy("key").count().filter(F.col("count") >= OFTEN)
+    found = count.orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    key, number = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(key)
+    return key[order], number[order]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+#: Keeps bounds that are computed in doubles on the safe side.
+SLACK = 1e-9
+
+
+def shingle_sets(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """doc_id, __row, and of the set of shingles: h0 and h1 (its hash), n, the keys, and all of it."""
+    lean(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, width))
+
+    def keys(own: np.ndarray) -> np.ndarray:
+        often, number = shared.value
+        first = len(own) - int(np.ceil(least * len(own) - SLACK)) + 1 if len(own) else 0
+        if not len(often):
+            return own[:first]
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        return own[np.argsort(np.where(often[at] == own, number[at], 0), kind="stable")[:first]]
+
+    def run(column: pa.Array) -> pa.Array:
+        import xxhash
+
+        sets = [np.unique(shingles(t, width)) for t in column.to_pylist()]
+        digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+        columns = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([len(s) for s in sets], pa.int32()), _lists([keys(s) for s in sets]), _lists(sets)]
+        return pa.StructArray.from_arrays(columns, names=["h0", "h1", "n", "keys", "shingles"])
+
+    kind = "struct<h0:long, h1:long, n:int, keys:array<long>, shingles:array<long>>"
+    return texts.select("doc_id", "__row", F.arrow_udf(run, kind)("text").alias("__set")).select("doc_id", "__row", "__set.*")
+
+
+def agreeing(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those ``pairs`` (a, b) of rows whose whole sets have a Jaccard index of ``least`` or more."""
+    pairs = settled(pairs.select("a", "b").distinct(), 4)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
+    held = settled(sets.select("__row", "shingles").join(asked, "__row", "left_semi"), 4)
+    for end in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("__row").alias(end), F.col("shingles").alias(f"s{end}")), end)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return settled(pairs.filter(common / (F.size("sa") + F.size("sb") - common) >= least).select("a", "b"), 16, 12)
+
+
+def alike(sets: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between rows of ``firsts`` (__row); their components are those of all pairs that agree.
+
+    First only neighbours by size within a key are decided, so a large group of near copies doesn't bring all its
+    pairs; then all pairs of a key that are not in one component yet.
+    """
+    own = sets.select("__row", "n", "keys").join(firsts.select("__row"), "__row", "left_semi")
+    by_size = Window.partitionBy("key").orderBy("n", "__row")
+    keys = own.select("__row", "n", F.posexplode("keys").alias("at", "key")).select("*", F.lead(F.struct("__row", "n", "at")).over(by_size).alias("next"), F.lag("n").over(by_size).alias("before"))
+    keys = settled(keys.filter("next is not null or before is not null").select("key", "__row", "n", "at", "next"), 4)
+
+    def may(na: Column, ata: Column, nb: Column, atb: Column) -> Column:
+        return (F.least(na, nb) >= least * F.greatest(na, nb) - SLACK) & (F.least(na - ata, nb - atb) >= least / (1 + least) * (na + nb) - SLACK)
+
+    chain = keys.filter("next is not null").filter(may(F.col("n"), F.col("at"), F.col("next.n"), F.col("next.at")))
+    edges = agreeing(chain.select(F.least("__row", "next.__row").alias("a"), F.greatest("__row", "next.__row").alias("b")), sets, least)
+    label = components(edges).withColumnRenamed("node", "__row")
+    open_keys = keys.drop("next").join(label, "__row", "left").withColumn("root", F.coalesce("root", "__row"))
+    mixed = open_keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    open_keys = settled(open_keys.join(mixed, "key", "left_semi"), 4)
+    a, b = (open_keys.select("key", *(F.col(c).alias(f"{c}{end}") for c in ("__row", "n", "at", "root"))) for end in ("a", "b"))
+    rest = a.join(b, "key").filter((F.col("__rowa") < F.col("__rowb")) & (F.col("roota") != F.col("rootb")) & may(*map(F.col, ("na", "ata", "nb", "atb"))))
+    return edges.unionByName(agreeing(rest.select(F.col("__rowa").alias("a"), F.col("__rowb").alias("b")), sets, least))
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """The documents, without those that have a near-duplicate with a smaller doc_id; of equal doc_ids one row stays.
 
-    By default two fingerprints over five words, and up to 22 of 128 bits; figures for shingle sets with 0.8 or more in common are in the README.
+    Near-duplicates are linked by sets of ``width``-word shingles with a Jaccard index of ``least`` or more, all of
+    them, over any number of links.
     """
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__row")
-    rows = settled(fingerprints(texts, width, prints, ("doc_id", "__row")))
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "__row"))["__row"]
-    named = rows.join(near_duplicates(rows, prints, bits), names(prints), "left")
-    # groups are named by a fingerprint too: those without any doc_id have no other name
-    stays = settled(named.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))).agg(first.alias("__row")).select("__row"), 4)
+    sets = settled(shingle_sets(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__row"), width, least))
+    node = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("low"), "__row")
+    firsts = settled(sets.groupBy("h0", "h1").agg(F.min(node).alias("node")).select("node", "node.__row"), 4)
+    edges = alike(sets, firsts, least)
+    for end in ("a", "b"):
+        edges = edges.join(firsts.select(F.col("__row").alias(end), F.col("node").alias(f"node_{end}")), end)
+    root = components(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    stays = settled(firsts.join(root.filter("node <> root").select("node.__row"), "__row", "left_anti").select("__row"), 4)
     return marked.join(stays, "__row", "left_semi").drop("__row")
