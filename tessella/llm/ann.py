@@ -12,7 +12,8 @@ be among the k nearest of anything.
 
 Defined results: vectors that are null, empty, zero, of another length than the most frequent, or that
 hold null or non-finite components take no part, also as queries; fewer candidates than k give all;
-ties go to the smaller id; repeated rows (same id and vector) count once; an empty table gives no
+ties go to the smaller id; repeated rows (same id and vector) count once,
+also as queries, and of several vectors with one id the best counts; an empty table gives no
 rows; other columns of the input are ignored.
 """
 
@@ -136,7 +137,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
             row, at = np.nonzero(there)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(order[row, at].astype(np.int32))], names=["query_id", "v", "cell"])
 
-    asked = settled(rows.filter(queries).mapInArrow(probes, "query_id long, v array<double>, cell int"))
+    asked = settled(rows.filter(queries).dropDuplicates(["vec_id", "v"]).mapInArrow(probes, "query_id long, v array<double>, cell int"))
     wanted = {r[0]: r[1] for r in asked.groupBy("cell").count().collect()}
     shares = [max(1, math.ceil(wanted.get(c, 0) / QUERIES)) for c in range(len(count))]
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
@@ -159,6 +160,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
                 near = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 exact = np.einsum("qnd,qd->qn", unit[near], q[a : a + 256])
                 exact[ids[near] == query_ids[a : a + 256, None]] = -np.inf
+                # of several vectors with one id the best counts
+                by_id = np.lexsort((-exact, ids[near]), axis=1)
+                named = np.take_along_axis(ids[near], by_id, axis=1)
+                again = np.zeros(near.shape, bool)
+                np.put_along_axis(again, by_id[:, 1:], named[:, 1:] == named[:, :-1], axis=1)
+                exact[again] = -np.inf
                 best = np.lexsort((ids[near], -exact), axis=1)[:, :k]
                 take = np.take_along_axis(exact, best, axis=1)
                 found = np.isfinite(take)
@@ -171,4 +178,4 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     keys = ("cell", "block", "share")
     found = dealt.groupBy(*keys).cogroup(dealt_queries.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

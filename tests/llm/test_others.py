@@ -129,6 +129,18 @@ def test_few_neighbours(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_query_rows_lose_no_neighbours(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 40)]
+    rows += [(0, rng.normal(size=8).tolist())] * 5 + [(7, rng.normal(size=8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 50 == 0, cells=2).orderBy("rank").collect()]
+    best = {}
+    for i, s in exact(rows, lambda q: q == 0, 40)[0]:
+        best.setdefault(i, s)
+    assert got == [(0, k + 1, i) for k, i in enumerate(sorted(best, key=lambda i: -best[i])[:5])]
+
+
 def test_recall_on_the_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
