@@ -410,9 +410,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     sets = settled(shingle_sets(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__row"), width, least))
     node = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("low"), "__row")
     firsts = settled(sets.groupBy("h0", "h1").agg(F.min(node).alias("node")).select("node", "node.__row"), 4)
-    edges = alike(sets, firsts, least)
-    for end in ("a", "b"):
-        edges = edges.join(firsts.select(F.col("__row").alias(end), F.col("node").alias(f"node_{end}")), end)
-    root = components(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    stays = settled(firsts.join(root.filter("node <> root").select("node.__row"), "__row", "left_anti").select("__row"), 4)
+    root = components(alike(sets, firsts, least)).withColumnRenamed("node", "__row")
+    groups = firsts.join(root, "__row", "left").groupBy(F.coalesce("root", "__row")).agg(F.min("node").alias("least"))
+    stays = settled(groups.select("least.__row"), 4)
     return marked.join(stays, "__row", "left_semi").drop("__row")
