@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,20 @@ def settled(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFram
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFrame:
+    """The same rows, read from a table in the shared folder; for private columns.
+
+    A checkpoint would keep the size that its plan was estimated to have, which is a product over joins: after some
+    rounds of joins among such results the estimates alone, numbers of millions of digits, stop the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    if fewer > 1:
+        df = df.coalesce(max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of a batch that goes to a Python worker; Spark's own default would hold many long texts at once, on either side.
 BATCH_BYTES = 4 << 20
 

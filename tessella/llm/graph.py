@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import written
 
 
 #: Edges are few beside what they were found in.
@@ -21,19 +21,19 @@ def components(edges: DataFrame) -> DataFrame:
     sides, so a node with very many edges is split.
     Nodes of any orderable type; no edges give no rows.
     """
-    edges, labels = settled(edges.filter("a <> b").select("a", "b").distinct(), FEWER, 12), None
+    edges, labels = written(edges.filter("a <> b").select("a", "b").distinct(), FEWER, 12), None
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), FEWER, 12)
+        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), FEWER, 12)
         while True:
-            further = settled(_relabel(parent, parent), FEWER, 12)
+            further = written(_relabel(parent, parent), FEWER, 12)
             parent = further.select("node", "root")
             if further.filter("moved").isEmpty():
                 break
-        labels = parent if labels is None else settled(_relabel(labels, parent).select("node", "root"), FEWER, 12)
+        labels = parent if labels is None else written(_relabel(labels, parent).select("node", "root"), FEWER, 12)
         for end in ("a", "b"):
             edges = edges.join(parent, edges[end] == parent["node"], "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
-        edges = settled(edges.filter("a <> b").distinct(), FEWER, 12)
+        edges = written(edges.filter("a <> b").distinct(), FEWER, 12)
     return labels
 
 
