@@ -1,18 +1,19 @@
 """Token ids in grammar-compressed shards (Re-Pair), with random access.
 
 A shard is one row of a Parquet folder: up to ``SHARD_IDS`` ids of whole documents in ascending
-order.  Frequent pairs of neighbouring symbols are replaced by nonterminals, round by round, until no
-pair is frequent or the rounds are used up.  A round counts all pairs of the shard and takes many at
-once: pairs such that no symbol opens one and closes another, so replacements never overlap.
+order (a longer document is a shard of its own).  Pairs of neighbouring symbols that occur ``LEAST``
+times are replaced by nonterminals until no pair does.  A round counts all pairs of the shard and takes
+many at once: pairs such that no symbol opens one and closes another, so replacements never overlap;
+of a run of equal symbols every second pair counts.
 
 File format, columns: task, shard (order of the shard within the task), first (ids before it within
-the task), ids (count), doc_id (array), ends (end of each document within the shard), left and right
-(the rules: nonterminal ``FIRST + k`` stands for left[k] right[k]), expands (ids that nonterminal k
-stands for), wide (symbols have 4 bytes, else 2), symbols (little-endian unsigned).  Tasks and shards
-in order hold the documents by doc_id.
+the task), ids (count), doc_id (array), ends (end of each document within the shard), terminals (ids
+are below it), left and right (the rules: nonterminal ``terminals + k`` stands for left[k] right[k]),
+expands (ids that nonterminal k stands for), wide (symbols have 4 bytes, else 2), symbols
+(little-endian unsigned).  Tasks and shards in order hold the documents by doc_id.
 
 Defined results: a null text is empty; an empty document is its end id; null doc_ids come first, and
-equal doc_ids by their text; an empty table gives no rows; other columns of the input are ignored.
+equal doc_ids by a hash of their text; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,35 +33,46 @@ from .bytebpe import shared_encoder
 from .common import lean, shared_dir, slices
 
 SHARD_IDS = 1 << 19
-FIRST = 50_257  # ids below are terminals
-ROUNDS, PAIRS, LEAST = 3, 2048, 32
-SCHEMA = "task int, shard int, first long, ids long, doc_id array<long>, ends array<long>, left array<int>, right array<int>, expands array<int>, wide boolean, symbols binary"
+#: Pairs that a round takes at most, and occurrences that make a pair frequent.
+PAIRS, LEAST = 2048, 32
+SCHEMA = "task int, shard int, first long, ids long, doc_id array<long>, ends array<long>, terminals int, left array<int>, right array<int>, expands array<int>, wide boolean, symbols binary"
 _LISTS = {"doc_id": pa.int64(), "ends": pa.int64(), "left": pa.int32(), "right": pa.int32(), "expands": pa.int32()}
-_PLAIN = {"task": pa.int32(), "shard": pa.int32(), "first": pa.int64(), "ids": pa.int64(), "wide": pa.bool_(), "symbols": pa.binary()}
+_PLAIN = {"task": pa.int32(), "shard": pa.int32(), "first": pa.int64(), "ids": pa.int64(), "terminals": pa.int32(), "wide": pa.bool_(), "symbols": pa.binary()}
 ARROW = pa.schema([(n, pa.list_(_LISTS[n]) if n in _LISTS else _PLAIN[n]) for n in (x.split()[0] for x in SCHEMA.split(", "))])
 
 
-def compress(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right) of a grammar whose expansion is ``ids``; ids are below ``first``."""
+HASH_BITS = 19
+
+
+def _pairs(symbols: np.ndarray, least: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, occurrences, places, pair at each place) of the frequent pairs, or of those in the ``most`` fullest buckets."""
+    bucket = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(32 - HASH_BITS)
+    equal = symbols[:-1] == symbols[1:]
+    if equal.any():  # every second pair of a run
+        place = np.arange(len(equal))
+        begin = np.maximum.accumulate(np.where(equal & ~np.concatenate([[False], equal[:-1]]), place, 0))
+        counted = ~equal | ((place - begin) % 2 == 0)
+    else:
+        counted = np.ones(len(bucket), bool)
+    count = np.bincount(bucket[counted], minlength=1 << HASH_BITS)
+    full = np.flatnonzero(count >= least)
+    if most is not None and len(full) > most:
+        full = full[np.argpartition(count[full], -most)[-most:]]
+    wanted = np.zeros(1 << HASH_BITS, bool)
+    wanted[full] = True
+    at = np.flatnonzero(wanted[bucket] & counted)
+    pair, where, number = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_inverse=True, return_counts=True)
+    return pair, number, at, where
+
+
+def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, left, right) of a grammar whose expansion is ``ids``; ids are below ``first``.  No pair of symbols is frequent."""
     symbols = ids.astype(np.uint32)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    known = first
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        bucket = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(13)
-        count = np.bincount(bucket, minlength=1 << 19)
-        full = np.flatnonzero(count >= least)
-        if len(full) > pairs:
-            full = full[np.argpartition(count[full], -pairs)[-pairs:]]
-        if not len(full):
-            break
-        wanted = np.zeros(1 << 19, bool)
-        wanted[full] = True
-        at = np.flatnonzero(wanted[bucket])
-        key = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        pair, where, number = np.unique(key, return_inverse=True, return_counts=True)
+    known, most = first, pairs
+    while len(symbols) > 1:
+        pair, number, at, where = _pairs(symbols, least, most)
         opens: set[int] = set()
         closes: set[int] = set()
         chosen = np.full(len(pair), -1, np.int64)
@@ -69,13 +81,16 @@ def compress(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, pairs: i
         new: list[int] = []
         for k in frequent[np.argsort(-number[frequent], kind="stable")].tolist():
             a, b = int(a_of[k]), int(b_of[k])
-            if a != b and a not in closes and b not in opens:
+            if a not in closes and b not in opens and (a != b or a not in opens and a not in closes):
                 opens.add(a)
                 closes.add(b)
                 chosen[k] = known + len(new)
                 new.append(k)
         if not new:
-            break
+            if most is None:
+                break
+            most = None  # the fullest buckets held only rare pairs
+            continue
         named = chosen[where]
         hit = named >= 0
         place = at[hit]
@@ -85,29 +100,41 @@ def compress(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, pairs: i
         symbols = symbols[keep]
         left.append(a_of[new])
         right.append(b_of[new])
-        known += len(new)
+        known, most = known + len(new), pairs
     empty = [np.zeros(0, np.int64)]
     return symbols, np.concatenate(left or empty).astype(np.int32), np.concatenate(right or empty).astype(np.int32)
 
 
+def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
+    """Ids that each nonterminal stands for."""
+    size: list[int] = []
+    for a, b in zip(left.tolist(), right.tolist()):
+        size.append((size[a - first] if a >= first else 1) + (size[b - first] if b >= first else 1))
+    return np.array(size, np.int64)
+
+
 class Grammar:
     """Reads the ids of a shard, whole or any span of them."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, symbols: np.ndarray, first: int = FIRST):
-        self.first, self.symbols = first, symbols.astype(np.int64)
-        rules: list[np.ndarray] = []
-        get = lambda s: rules[s - first] if s >= first else np.array([s], np.uint32)
-        for a, b in zip(left.tolist(), right.tolist()):
-            rules.append(np.concatenate([get(a), get(b)]))
-        self.flat = np.concatenate([np.arange(first, dtype=np.uint32), *rules])
-        size = np.concatenate([np.ones(first, np.int64), np.array([len(r) for r in rules], np.int64)])
-        self.size, self.at = size, np.cumsum(size) - size
-        self.upto = np.concatenate([[0], np.cumsum(size[self.symbols])])
+    def __init__(self, left: np.ndarray, right: np.ndarray, expands: np.ndarray, symbols: np.ndarray, first: int):
+        self.first, self.left, self.right, self.expands, self.symbols = first, left, right, expands, symbols.astype(np.int64)
+        self.upto = np.concatenate([[0], np.cumsum(self.sizes(self.symbols))])
+
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out, rule = np.ones(len(symbols), np.int64), symbols >= self.first
+        out[rule] = self.expands[symbols[rule] - self.first]
+        return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.size[symbols]
-        to = np.cumsum(size) - size
-        return self.flat[np.repeat(self.at[symbols] - to, size) + np.arange(size.sum())]
+        size = self.sizes(symbols)
+        at, out = np.cumsum(size) - size, np.empty(int(size.sum()), np.uint32)
+        while len(symbols):  # each round writes what is a terminal and opens the rest by one rule
+            rule = symbols >= self.first
+            out[at[~rule]] = symbols[~rule]
+            symbols, at = symbols[rule] - self.first, at[rule]
+            left = self.left[symbols]
+            symbols, at = np.concatenate([left, self.right[symbols]]), np.concatenate([at, at + self.sizes(left)])
+        return out
 
     def ids(self, a: int = 0, b: int | None = None) -> np.ndarray:
         """ids[a:b], expanding only the symbols that reach into the span."""
@@ -119,16 +146,15 @@ class Grammar:
 
 
 def grammar_of(row: dict) -> Grammar:
-    return Grammar(np.array(row["left"], np.int64), np.array(row["right"], np.int64), np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2"))
+    rules = (np.array(row[x], np.int64) for x in ("left", "right", "expands"))
+    return Grammar(*rules, np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2"), row["terminals"])
 
 
 def _shard(task: int, shard: int, first: int, ids: np.ndarray, doc_ids: list, ends: list[int]) -> pa.RecordBatch:
-    symbols, left, right = compress(ids)
-    size = np.ones(FIRST + len(left), np.int32)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        size[FIRST + k] = size[a] + size[b]
-    wide = FIRST + len(left) > 1 << 16
-    row = {"task": task, "shard": shard, "first": first, "ids": len(ids), "doc_id": doc_ids, "ends": ends, "left": left, "right": right, "expands": size[FIRST:], "wide": wide, "symbols": symbols.astype("<u4" if wide else "<u2").tobytes()}
+    terminals = int(ids.max()) + 1
+    symbols, left, right = compress(ids, terminals)
+    wide = terminals + len(left) > 1 << 16
+    row = {"task": task, "shard": shard, "first": first, "ids": len(ids), "doc_id": doc_ids, "ends": ends, "terminals": terminals, "left": left, "right": right, "expands": lengths_of(left, right, terminals), "wide": wide, "symbols": symbols.astype("<u4" if wide else "<u2").tobytes()}
     return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in ARROW], schema=ARROW)
 
 
@@ -163,7 +189,8 @@ def _write_task(tokenizer: str, end_id: int):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Writes the shards of all documents to a folder that all executors share."""
     lean(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(_write_task(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
 
 
@@ -185,7 +212,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 columns = [pa.array(np.full(len(ends), row["task"], np.int32)), pa.array(row["doc_id"], pa.int64()), pa.array(starts + row["first"]), pa.array(ends - starts), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(spans, pa.binary())] if with_ids else [])], names=["task", "doc_id", "at", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    found = shards.select("task", "first", "doc_id", "ends", "left", "right", "wide", "symbols").mapInArrow(run, schema)
+    found = shards.select("task", "first", "doc_id", "ends", "terminals", "left", "right", "expands", "wide", "symbols").mapInArrow(run, schema)
     return found.join(base, "task").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
