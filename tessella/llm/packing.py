@@ -126,7 +126,7 @@ def _merge_group(size: int, level: int, with_ids: bool):
         pieces = [[r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]] for r in batch.to_pylist()]
         windows.open = [[0, pieces]]
         windows.merge()
-        first = (level << 20 | task) << 32
+        first = level << 58 | task << 32
         tables = [_rows(windows.done, first, False, task, with_ids), _rows([w[1] for w in windows.open], first + len(windows.done), True, task, with_ids)]
         return pa.Table.from_batches(tables)
 
