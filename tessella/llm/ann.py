@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cosine: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and the quantiser of residuals are fitted on at most about ``SAMPLE`` vectors, taken
-by hash (documented bound); every vector is indexed.  A query probes its ``probe`` nearest cells, and
-more while these hold fewer than ``k`` + 1 vectors.  In a cell, a table of the query's products with
+by hash (documented bound); every vector is indexed.  Cells grow with the root of the rows up to
+``MOST_CELLS``.  A query probes as many of its nearest cells as hold ``RECALL`` of the nearest vectors of
+``ASKED`` sampled ones, found by brute force among the sample (where they lie farther than among all
+rows, so this errs on the side of more), and more while these hold fewer than ``k`` + 1 vectors.  In a cell, a table of the query's products with
 all code words scores codes by lookups (asymmetric distance), the best ``shortlist`` of each block
 are scored exactly, in double precision, on the original vectors, and the best k of all remain.
 
@@ -31,7 +33,10 @@ from pyspark.sql import Window
 
 from .common import settled
 
-SAMPLE, CELLS, PROBE, SHORTLIST = 16_384, 64, 48, 32
+SAMPLE, SHORTLIST = 16_384, 32
+LEAST_CELLS, MOST_CELLS = 16, 1024
+#: Share of true neighbours that probed cells are to hold, and sampled vectors that this is measured for.
+RECALL, ASKED = 0.96, 256
 BLOCK, QUERIES = 8192, 1024
 #: Dimensions of a sub-vector, and code words for each.
 PART, WORDS = 4, 256
@@ -78,7 +83,25 @@ def _means(x: np.ndarray, k: int, rounds: int, rng, spherical: bool) -> np.ndarr
     return centre
 
 
-def fit(x: np.ndarray, cells: int = CELLS, seed: int = 7) -> Quantiser:
+def cells_for(rows: int) -> int:
+    """Half the root of the rows, as a power of two."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, math.ceil(math.log2(max(1, rows) ** 0.5 / 2)))))
+
+
+def probes_for(model: Quantiser, x: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """Cells to probe so that ``recall`` of the k nearest among ``x`` (unit vectors, in no order) lie in them."""
+    q = x[:ASKED]
+    if len(x) <= k + 1:
+        return len(model.centroids)
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = model.cells(x)[np.argpartition(-score, k - 1, axis=1)[:, :k]]
+    place = np.argsort(np.argsort(-(q @ model.centroids.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, near, axis=1).ravel())
+    return int(needed[math.ceil(len(needed) * recall) - 1]) + 1
+
+
+def fit(x: np.ndarray, cells: int, seed: int = 7) -> Quantiser:
     """Fits a quantiser to unit vectors."""
     rng = np.random.default_rng(seed)
     centroids = _means(x, cells, 8, rng, True)
@@ -98,7 +121,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", cells: int = CELLS, probe: int = PROBE, shortlist: int = SHORTLIST) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", cells: int | None = None, probe: int | None = None, shortlist: int = SHORTLIST) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows for which ``queries`` (of vec_id) holds, against all other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("d", F.size("v"))
@@ -107,11 +130,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
     if common is None:
         return nothing
     rows = rows.filter(F.col("d") == common["d"]).select("vec_id", "v")
+    cells = cells or cells_for(common["count"])
     share = min(1.0, SAMPLE / common["count"])
-    part = F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1 << 30)) / (1 << 30)
+    part = F.pmod(F.xxhash64(F.lit("fit"), "vec_id", "v"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.filter(part < share).orderBy("vec_id").toArrow()
     sample = sample if sample.num_rows else rows.orderBy("vec_id").limit(cells).toArrow()
-    model = fit(_unit(_matrix(sample["v"])), cells)
+    sample = np.unique(_unit(_matrix(sample["v"])), axis=0)
+    sample = sample[np.random.default_rng(1).permutation(len(sample))]
+    model = fit(sample, cells)
+    probe = probe or probes_for(model, sample, k)
     shared = spark.sparkContext.broadcast(model)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
