@@ -109,35 +109,49 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     return df.select(F.col(conv_id).alias("conv_id"), turns.alias("turns"))
 
 
-#: The types of leaves in the schema text of a variant.
-LEAF = r"(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|DECIMAL\(\d+,\s?\d+\))"
+def _present(json: Column, path: str) -> Column:
+    """Whether a parsed JSON text has the path, whatever its value; a list without elements has those of its elements."""
+    top, _, field = path.partition("[].")
+    if not field:
+        return F.try_variant_get(json, f"$.{top}", "variant").isNotNull()
+    items = F.try_variant_get(json, f"$.{top}", "array<variant>")
+    return F.coalesce((F.size(items) == 0) | F.exists(items, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull()), F.lit(False))
 
 
-def _variant_text(layout: Layout) -> str:
-    """The schema text, leaves as ?, of a variant of a layout that isn't rows."""
-    if layout.items:
-        return f"OBJECT<{layout.items}: ARRAY<OBJECT<{', '.join(f'{n}: ?' for n in sorted((layout.role, layout.text)))}>>>"
-    return f"OBJECT<{', '.join(f'{n}: ?' for n in sorted(n for _, n in layout.fields))}>"
+def json_paths(json: Column) -> Column:
+    """The known paths that each JSON text has, in order; null if it isn't JSON."""
+    parsed = F.try_parse_json(json)
+    known = [p for p in KNOWN if any(p in x.paths for x in LAYOUTS if not x.rows)]
+    found = F.transform(F.array(parsed), lambda v: F.array_compact(F.array(*(F.when(_present(v, p), F.lit(p)) for p in known))))
+    return F.when(parsed.isNotNull(), F.element_at(found, 1))
 
 
-def json_fingerprint(json: Column) -> Column:
-    """Hash of the field paths of each JSON text; null if it isn't JSON."""
-    return F.sha2(F.regexp_replace(F.schema_of_variant(F.try_parse_json(json)), LEAF, "?"), 256)
+def json_fingerprint(paths: Column) -> Column:
+    """The fingerprint of an array of paths in order."""
+    return F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16)
 
 
 def turns_of_json(json: Column) -> Column:
-    """The turns of each JSON text of a declared layout, chosen by its fingerprint; null for others."""
-    own, chosen = json_fingerprint(json), F.lit(None).cast(TURN)
-    for layout in (x for x in LAYOUTS if not x.rows):
+    """The turns of each JSON text, by the layout with the fingerprint of its known paths, else the largest whose paths
+    are all there; null for others."""
+
+    def turns_of(layout: Layout) -> Column:
         if layout.items:
             read = F.from_json(json, f"{layout.items} array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-            turns = F.transform(read[layout.items], _turn_of(layout))
-        else:
-            read = F.from_json(json, ", ".join(f"`{n}` string" for _, n in layout.fields))
-            turns = F.array(*(_turn(F.lit(role), read[n]) for role, n in layout.fields))
-        key = hashlib.sha256(_variant_text(layout).encode()).hexdigest()
-        chosen = F.when(own == key, turns).otherwise(chosen)
-    return chosen
+            return F.transform(read[layout.items], _turn_of(layout))
+        read = F.from_json(json, ", ".join(f"`{n}` string" for _, n in layout.fields))
+        turns = F.array(*(_turn(F.lit(role), read[n]) for role, n in layout.fields))
+        return F.filter(turns, lambda x: (x["role"] != "user") | (x["text"] != "")) if sum(r == "user" for r, _ in layout.fields) > 1 else turns
+
+    layouts = sorted((x for x in LAYOUTS if not x.rows), key=lambda x: -len(x.paths))
+
+    def choose(paths: Column) -> Column:
+        by_print = F.create_map(*(F.lit(y) for x in layouts for y in (x.print(), x.name)))
+        fits = (F.when(F.size(F.array_intersect(paths, F.array(*map(F.lit, x.paths)))) == len(x.paths), F.lit(x.name)) for x in layouts)
+        return F.coalesce(F.element_at(by_print, json_fingerprint(paths)), *fits)
+
+    chosen = F.element_at(F.transform(F.array(json_paths(json)), choose), 1)
+    return F.element_at(F.transform(F.array(chosen), lambda name: F.coalesce(*(F.when(name == x.name, turns_of(x)) for x in layouts), F.lit(None).cast(TURN))), 1)
 
 
 def escaped(text: Column) -> Column:

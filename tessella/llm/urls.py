@@ -37,6 +37,11 @@ MARK = "\x01"
 PER_RANGE, RANGES = 64, 4096
 
 
+def lowered(host: Column) -> Column:
+    """With A-Z lower-cased, and nothing else."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path of a URL, by position: after the first "://"."""
     url = F.coalesce(url.cast("string"), F.lit(""))
@@ -44,8 +49,7 @@ def parts(url: Column) -> tuple[Column, Column]:
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(has, lower).otherwise(""), F.when(has, path).otherwise("")
+    return F.when(has, lowered(host)).otherwise(""), F.when(has, path).otherwise("")
 
 
 def key(host: Column, path: Column) -> Column:
@@ -110,7 +114,7 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url: str
     names = ["part", "key", "row", "rule", "verdict", "host_chars"]
     types = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32()]
     schema = "part int, key string, row long, rule string, verdict string, host_chars int"
-    ruled = rules.filter("host is not null and host <> ''").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    ruled = rules.filter("host is not null and host <> ''").select(lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     ruled = ruled.select(key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_chars")).mapInArrow(deal_rules, schema)
     both = spots.mapInArrow(deal, schema).unionByName(ruled).repartition("part").sortWithinPartitions("part", "key", "row")
 

@@ -42,10 +42,12 @@ def test_layouts_are_known_by_their_fingerprint(spark):
     texts = [
         {"messages": [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"prompt": "q", "completion": "a"}, {"response": "a", "prompt": "q"},
         {"instruction": "q", "output": "a"}, {"question": "q", "answer": "a"}, {"turns": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "a"}]},
+        {"messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}], "id": 1}, {"prompt": "q", "response": "a", "score": 0.5}, {"instruction": "q", "input": None, "output": "a", "id": [1]},
     ]
     df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate([*texts, {"what": 1}])] + [(99, "no json"), (98, None)], "id long, j string")
     got = {r.id: r.turns and [(t.role, t.text) for t in r.turns] for r in df.select("id", chat.turns_of_json(F.col("j")).alias("turns")).collect()}
     assert all(got[i] == both for i in range(len(texts))) and got[len(texts)] is got[99] is got[98] is None
+    assert spark.range(1).select(chat.turns_of_json(F.lit('{"messages": [], "id": 1}')).alias("t")).first().t == []
     table = spark.createDataFrame([(1, "q", "a", "z")], "conv_id long, prompt string, response string, other string")
     assert [(t.role, t.text) for t in chat.canonical_turns(table).first().turns] == both
     with pytest.raises(ValueError, match="no layout"):
@@ -141,8 +143,9 @@ def test_repeated_query_rows_lose_no_neighbours(spark):
     assert got == [(0, k + 1, i) for k, i in enumerate(sorted(best, key=lambda i: -best[i])[:5])]
 
 
-def test_recall_on_the_table(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_recall_on_the_table(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
     x = np.array([r.embedding for r in rows], float)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
