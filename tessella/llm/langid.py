@@ -7,8 +7,11 @@ to equal shares.  The statistics are frozen after training, so each (context, by
 length, kept in 1/65536 bits; a text's code length under a language is a sum, in whole numbers, and
 is the same however the texts are split among tasks.  The shortest code wins.
 
-Training reads at most about ``SAMPLE`` labelled rows of each language, chosen by a hash of doc_id
-(documented bound; texts are taken whole).  Scoring reads every byte of every text.
+Training reads a bounded sample of labelled rows, texts whole: about ``SAMPLE`` of each language and
+``TOTAL`` of all, of the ``LANGUAGES`` most frequent ones, chosen by a hash of doc_id and text, so that copies of a
+row are in or out together; of each language one row at least.  The model is bounded by ``CELLS`` (64 MB of
+costs): contexts seen once in all are no contexts, and beyond the bound the most frequent ones are kept.
+Scoring reads every byte of every text.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or nothing was learned;
 ties go to the language first by code point; repeated rows are judged row by row; an empty table
@@ -30,9 +33,10 @@ from .common import lean, slices
 ORDER = 3
 #: Labelled rows to learn from, for each language (on average: rows are taken by hash).
 SAMPLE = 600
+#: Languages to learn, the most frequent first, and rows to learn from in all.
+LANGUAGES, TOTAL = 500, 60_000
 #: Contexts are kept while the cost table has no more cells than this, the most frequent first.
 CELLS = 16_000_000
-MOST_LANGUAGES = 500
 UNIT = 65_536
 #: Before a text stand as many line ends as the longest context.
 PAD = b"\n" * ORDER
@@ -155,16 +159,16 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from rows (doc_id, text, ``label``) with neither text nor label null; the caller leaves out what is held out."""
     lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = sorted(sizes)
+    unit = F.pmod(F.xxhash64(F.lit("learn"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.select("lang", "text", unit.alias("unit"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("unit").alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    languages = sorted(r.lang for r in found)
     if not languages:
         return Model([], np.zeros(256, np.int16), np.zeros(1, np.int32), np.zeros((0, 1), np.int32))
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / sizes[k])))))[F.col("lang")]
+    wanted = min(sample, TOTAL / len(languages))
+    share = F.create_map(*(x for r in found for x in (F.lit(r.lang), F.lit(max(r.least, wanted / r.n)))))[F.col("lang")]
     number = F.create_map(*(x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))))[F.col("lang")]
-    unit = F.pmod(F.xxhash64(F.lit("learn"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.filter(unit < share).select(number.alias("lang"), "text")
+    chosen = rows.filter(F.col("unit") <= share).select(number.alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
