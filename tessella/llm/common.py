@@ -88,6 +88,11 @@ def slices(texts: list[str], chars: int = 1_000_000, rows: int = 20_000) -> Iter
         yield a, len(texts)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -8,27 +8,31 @@ Takes: a source is taken whole as often as its target has room.  For the rest it
 counted by exact length.  Of every length the same share is taken, rounded down; one more document at
 a time of the longest lengths follows while it fits; what is then left is a small budget, which a
 bounded knapsack over the documents not yet counted fits as closely as they allow (a bit set of
-reachable sums, kept for each step so that the choice can be read back).  Which documents of a
-length are taken is decided by a seeded hash of doc_id.
+reachable sums, and for each sum the step that first reached it, so that the choice can be read back).
+Sums beyond twice the budget are no nearer than none, so a very long text doesn't widen it.  Which
+documents of a length are taken is decided by a seeded hash of doc_id and text.
 
 Counting and choosing are distributed: the k documents of a (source, length) with the least hashes
 are found from counts by hash bucket, and only the bucket that holds the k-th is ranked, so many
-documents of one length never meet in one task.  The driver sees one row per source.
+documents of one length meet in one task only where they are copies with one doc_id.  The driver sees
+one row per source.
 
 Defined results: a null text has size 0; a null source is a source of its own; repeated rows are
-documents of their own; an empty table gives no rows; other columns of the input are ignored.
+documents of their own; an empty table gives no rows; other columns of the input are ignored (``mixed``
+hands them through, whatever their names).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD, settled
+from .common import WORD, settled, whole_row
 
 #: The weights, dealt in turn.
 WEIGHTS = (5, 2, 1)
@@ -78,29 +82,35 @@ def fit(lengths: list[int], counts: list[int], budget: int, most: int = BUDGET)
         if left == before:
             break
     # A document may stand above the budget: the nearest sum counts, on either side.
-    near = max(lengths)
-    cap = left + near
-    reach, steps = 1, []
-    mask = (1 << (cap + 1)) - 1
+    cap = min(left + max(lengths), 2 * left)
+    reach, steps, mask = 1, [], (1 << (cap + 1)) - 1
+    first = np.full(cap + 1, -1, np.int32)
     for i in order:
         spare, unit = counts[i] - take[i], 1
         while spare > 0 and unit * lengths[i] <= cap:
             k = min(unit, spare)
-            steps.append((i, k, reach))
-            reach |= (reach << (k * lengths[i])) & mask
+            if k * lengths[i] <= cap and (new := (reach << (k * lengths[i])) & mask & ~reach):
+                first[_ones(new, cap + 1)] = len(steps)
+                steps.append((i, k))
+                reach |= new
             spare, unit = spare - k, unit * 2
         if reach >> left & 1:
             break
     low = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
     above = reach >> (left + 1)
     best = left + (above & -above).bit_length() if above and (above & -above).bit_length() < left - low else low
-    for i, k, before in reversed(steps):
-        if not before >> best & 1:
-            best -= k * lengths[i]
-            take[i] += k
+    while best:
+        i, k = steps[first[best]]
+        best -= k * lengths[i]
+        take[i] += k
     return take
 
 
+def _ones(bits: int, size: int) -> np.ndarray:
+    """Places of the ones of a bit set."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-size // 8), "little"), np.uint8), bitorder="little"))
+
+
 def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     budget = int(round(float(group["budget"].iloc[0])))
     group = group.sort_values("size")
@@ -112,7 +122,7 @@ def mix(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIG
     """doc_id, size, source_size, target, taken, and the ``keep`` columns."""
     spark = docs.sparkSession
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long") if size is None else size
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+    hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), hashed.alias("h"), F.pmod(hashed, F.lit(BUCKETS)).cast("int").alias("bucket"), F.struct(F.lit(0).alias("__"), *(f"`{c}`" for c in keep)).alias("kept"))
     rows = settled(rows)
     counts = settled(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), 4)
@@ -141,7 +151,7 @@ def mix(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIG
 
 def mixed(docs: DataFrame, seed: int = 7, most: float = 3.0, weights: tuple = WEIGHTS) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns; those without a word never."""
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    times = mix(marked, seed, most, weights, None, "__row").filter("taken > 0").select("__row", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    again = marked.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return again.drop("__row", "__times", "__copy")
+    marked = settled(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("number")))
+    plain = marked.select(*(F.col("row").getField(c).alias(c) for c in ("doc_id", "source", "text")), "number")
+    times = mix(plain, seed, most, weights, None, "number").filter("taken > 0").select("number", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return marked.join(times, "number").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

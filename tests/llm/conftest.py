@@ -28,7 +28,7 @@ def clashing(odd):
     """The same rows with columns named as the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["size", "fp", "failures", "n_words", "task", "open", "key", "a", "b", "node", "root", "host", "bucket", "share", "k", "score", "lang_pred", "sequence_id", "component_id", "h", "once", "taken", "target"]
+    names = ["size", "fp", "failures", "n_words", "task", "open", "key", "a", "b", "node", "root", "host", "bucket", "share", "k", "score", "lang_pred", "sequence_id", "component_id", "h", "once", "taken", "target", "row", "number", "times", "w0", "doc", "__row", "__copy", "__times", "__p", "p", "a`b.c"]
     return odd.select("*", *(F.lit("x").alias(n) for n in names))
 
 
