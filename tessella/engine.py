@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import weakref
+from collections import deque
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -28,17 +29,41 @@ class Compiled:
         return self.plan.warnings
 
 
+#: Queries whose intermediate aggregates stay persisted, the latest ones.
+HELD = 16
+
+
 class Engine:
+    """Some queries read an aggregate several times (periods, totals): it is persisted until ``HELD`` later queries
+    have done so, or until ``release``; a frame used after that computes it again."""
+
     def __init__(self, model: Model | dict | str | Path, tables: Tables):
         self.model, self.tables = model if isinstance(model, Model) else load(model), tables
+        self.held: deque[list[DataFrame]] = deque()
+        weakref.finalize(self, _release, self.held).atexit = False
 
     def compile(self, source: Query | dict | str) -> Compiled:
+        made = self._planned(source, self.tables)
+        if made.plan.kept:
+            # an equal aggregate of an earlier query may be older than the tables
+            self.held.append([df.unpersist().persist() for df in made.plan.kept])
+            while len(self.held) > HELD:
+                _unpersist(self.held.popleft())
+        return made
+
+    def _planned(self, source: Query | dict | str, tables) -> Compiled:
         asked, plan = query(source), Plan()
-        df = Planner(self.model, self.tables, asked, plan).build()
-        for kept in plan.kept:
-            weakref.finalize(df, kept.unpersist).atexit = False
-        plan.kept = []
-        return Compiled(df, plan, asked)
+        return Compiled(Planner(self.model, tables, asked, plan).build(), plan, asked)
+
+    def release(self) -> None:
+        """Lets go of all intermediate aggregates."""
+        _release(self.held)
+
+    def deterministic(self, source: Query | dict | str) -> bool:
+        """Whether the query gives the same on the same tables at any time: no clock, no randomness anywhere below."""
+        df = self._planned(source, self.tables).df
+        plan, jvm = df._jdf.queryExecution().analyzed(), df.sparkSession._jvm
+        return plan.deterministic() and not plan.containsPattern(jvm.org.apache.spark.sql.catalyst.trees.TreePattern.CURRENT_LIKE())
 
     def query(self, source: Query | dict | str) -> DataFrame:
         """The result of a query: labels in, a DataFrame out."""
@@ -52,7 +77,7 @@ class Engine:
 
     def explain(self, source: Query | dict | str, mode: str = "formatted") -> str:
         """The decisions, then Spark's plan."""
-        made = self.compile(source)
+        made = self._planned(source, self.tables)
         lines = [f"kind: {made.plan.kind}", f"base: {made.plan.base}", *(f"step: {s}" for s in made.plan.steps), *(f"warning: {w}" for w in made.warnings)]
         jvm = made.df.sparkSession._jvm
         return "\n".join([*lines, jvm.PythonSQLUtils.explainString(made.df._jdf.queryExecution(), mode)])
@@ -65,8 +90,7 @@ class Engine:
             touched.append(".".join(p for p in (o.database, o.schema, o.code or o.name) if p))
             return self.tables(o)
 
-        asked = query(source)
-        Planner(self.model, get, asked).build()
+        self._planned(source, get)
         return sorted(set(touched))
 
     def batch(self, queries: dict[str, Any], parallel: int = 4) -> dict[str, list]:
@@ -75,3 +99,15 @@ class Engine:
 
         with ThreadPoolExecutor(parallel) as pool:
             return dict(zip(queries, pool.map(lambda x: self.query(x).collect(), queries.values())))
+
+
+def _release(held: deque[list[DataFrame]]) -> None:
+    while held:
+        _unpersist(held.popleft())
+
+
+def _unpersist(frames: list[DataFrame]) -> None:
+    for df in frames:
+        if df.sparkSession._jsc.sc().isStopped():
+            return
+        df.unpersist()

@@ -8,13 +8,13 @@ ORDER BY, LIMIT.
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..errors import FanoutError, SemanticError
 from ..functions import catalog
@@ -37,7 +37,12 @@ class Plan:
     base: str | None = None
     steps: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
-    kept: list[DataFrame] = field(default_factory=list)  # persisted for as long as the result is held
+    kept: list[DataFrame] = field(default_factory=list)  # to be persisted while the result is in use
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """An aggregate that several later steps read."""
+        self.kept.append(df)
+        return df
 
 
 class Planner:
@@ -49,7 +54,9 @@ class Planner:
             if not any(j.join_to == p.target and j.path_name == p.path_name for j in getattr(model.data_objects.get(p.source), "joins", [])):
                 raise SemanticError("UNKNOWN_PATH", f"{p.source} has no join to {p.target} called {p.path_name!r}")
         self.dims = [dim(d) for d in query.select.dimensions]
-        for d in self.dims:
+        for i, d in enumerate(self.dims):
+            if d.label in [x.label for x in self.dims[:i]]:
+                raise SemanticError("DUPLICATE_FIELD", f"{d.label} is selected twice")
             for name, _ in d.parts:
                 self.dimension(name)
         self.warn = lambda text: self.plan.warnings.append(text) if text not in self.plan.warnings else None
@@ -515,8 +522,11 @@ class Planner:
         alone = replace(m, filter_context=None, grain=None, total=False)
         select = Select([self._raw(d) for d in dims], [m.name])
         self.plan.steps.append(f"own filters for {m.name}")
-        sub = Planner(self.model, self.tables, replace(self.query, select=select, grouping=None, having=[], order_by=[]), self.plan)
-        return self.joined(df, sub.facts([alone], own), [m.name], [d.label for d in dims])
+        # subtotals meet subtotals of the same dimensions
+        grouping = self.query.grouping and (self.query.grouping if dims == self.dims else "cube" if dims else None)
+        sub = Planner(self.model, self.tables, replace(self.query, select=select, grouping=grouping, having=[], order_by=[]), self.plan)
+        labels = [d.label for d in dims]
+        return self.joined(df, sub.facts([alone], own), [m.name], labels + [f"_g_{n}" for n in labels if grouping])
 
     def _raw(self, d: Dim) -> Any:
         name = lambda p: f"{p[0]}:{p[1]}" if p[1] else p[0]
@@ -562,8 +572,8 @@ class Planner:
         else:
             df = self.grouped(base + extra, self.query.where)
         values: dict[str, Column] = {b: q(b) for b in base}
-        if totals and not self.query.grouping:
-            df = df.withColumns({f"{SEP}total{SEP}{m.name}": self.total(m) for m in totals})
+        if totals:
+            df = self.with_totals(df, totals)
             values |= {m.name: q(f"{SEP}total{SEP}{m.name}") for m in totals}
         df, values = windows.add(self, df, windowed, values)
         for m in pops:
@@ -602,8 +612,11 @@ class Planner:
             raise SemanticError("ANCHOR_AND_PERIOD", "anchored measures don't combine with period over period")
         if own and any(m.aggregation == "avg" for m in totals):
             raise SemanticError("AVERAGE_TOTAL_AND_CONTEXT", "totals of averages don't combine with filterContext")
-        if self.query.grouping and (totals or pops or windowed):
+        if self.query.grouping and (pops or windowed):
             self.warn("GROUPING_WITH_WINDOWS: subtotals are rows of the windows too")
+        for m in windowed:
+            if not m.partition_by and not m.grain_to_date:
+                self.warn(f"ONE_WINDOW: {m.name} orders all groups in one task; partition it where there are many")
         for m in totals:
             if m.aggregation not in ("sum", "count", "count_distinct", "min", "max", "avg"):
                 raise SemanticError("TOTAL_UNSUPPORTED", f"{m.name}: totals of {m.aggregation} have no meaning")
@@ -611,20 +624,46 @@ class Planner:
                 self.warn(f"TOTAL_OVERCOUNTS: {m.name} adds distinct counts of groups")
 
     def average_parts(self, averages: list[Measure]) -> list[str]:
+        """Names of sums and counts that totals of averages are made of; measures of this plan alone."""
         out = []
+        if averages:
+            self.model = copy(self.model)
+            self.model.measures = dict(self.model.measures)
         for m in averages:
             for kind in ("sum", "count"):
                 name = f"{SEP}{kind}{SEP}{m.name}"
-                self.model.measures.setdefault(name, replace(m, name=name, aggregation=kind, total=False, grain=None, default_value=None))
+                self.model.measures[name] = replace(m, name=name, aggregation=kind, total=False, grain=None, default_value=None)
                 out.append(name)
         return out
 
+    def with_totals(self, df: DataFrame, totals: list[Measure]) -> DataFrame:
+        """The groups aggregated once more by the grain of each total, joined back: one row for a grand total.
+
+        Subtotals are not added up again: a total sums groups of all dimensions, and a subtotal shows it for those
+        of its grain's dimensions that it keeps.
+        """
+        df = self.plan.keep(df)
+        labels = [d.label for d in self.dims]
+        detail = df.filter(reduce(lambda a, b: a & b, [q(f"_g_{n}") == 0 for n in labels])) if self.query.grouping else df
+        by_grain: dict[tuple[str, ...], list[Measure]] = {}
+        for m in totals:
+            by_grain.setdefault(tuple(self.grain(m)) if m.grain and not m.total else (), []).append(m)
+        for grain, ms in by_grain.items():
+            made = [self.total(m).alias(f"{SEP}total{SEP}{m.name}") for m in ms]
+            keys = list(grain)
+            if self.query.grouping and grain:
+                out = detail.drop(*(f"_g_{n}" for n in labels)).cube(*map(q, grain)).agg(*made, *(F.grouping(q(n)).cast("int").alias(f"_g_{n}") for n in grain))
+                keys += [f"_g_{n}" for n in grain]
+            else:
+                out = detail.groupBy(*map(q, grain)).agg(*made)
+            df = self.joined(df, out, [f"{SEP}total{SEP}{m.name}" for m in ms], keys)
+        return df
+
     def total(self, m: Measure) -> Column:
-        over = Window.partitionBy(*(map(q, self.grain(m)) if m.grain and not m.total else []))
         if m.aggregation == "avg":
-            return F.sum(q(f"{SEP}sum{SEP}{m.name}")).over(over) / F.nullif(F.sum(q(f"{SEP}count{SEP}{m.name}")).over(over), F.lit(0))
+            return F.sum(q(f"{SEP}sum{SEP}{m.name}")) / F.nullif(F.sum(q(f"{SEP}count{SEP}{m.name}")), F.lit(0))
         how = {"min": F.min, "max": F.max}.get(m.aggregation, F.sum)
-        return how(q(m.name)).over(over)
+        return how(q(m.name))
 
     def metric_value(self, name: str, values: dict[str, Column]) -> Column:
         if name in values:
@@ -672,8 +711,7 @@ class Planner:
         if time not in [d.label for d in self.dims]:
             raise SemanticError("TIME_DIMENSION_NEEDED", f"{time} must be selected")
         # read for the spine and once for each offset, aggregated once
-        cur = self.grouped(base, self.query.where, {time: first.grain}).persist()
-        self.plan.kept.append(cur)
+        cur = self.plan.keep(self.grouped(base, self.query.where, {time: first.grain}))
         kind = cur.schema[time].dataType.simpleString()
         step = {"year": "interval 1 year", "quarter": "interval 3 month", "month": "interval 1 month", "week": "interval 7 day", "day": "interval 1 day", "hour": "interval 1 hour", "minute": "interval 1 minute", "second": "interval 1 second"}[first.grain]
         spine = cur.agg(F.min(q(time)).alias("a"), F.max(q(time)).alias("b")).select(F.explode(F.expr(f"sequence(a, b, {step})")).alias(f"{SEP}time"))

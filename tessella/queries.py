@@ -178,6 +178,12 @@ add("total_share", {"select": {"dimensions": ["Region Name", "Segment"], "measur
 add("total_average_and_maximum", {"select": {"dimensions": ["Region Name"], "measures": ["Total Average Price", "Total Largest Price"]}}, 'SELECT r_name AS "Region Name", (SELECT CAST(avg(price) AS DECIMAL(18,2)) FROM lines) AS "Total Average Price", (SELECT max(price) FROM lines) AS "Total Largest Price" FROM lines GROUP BY r_name')
 add("grain_fixed", {"select": {"dimensions": ["Region Name", "Segment"], "measures": ["Revenue", "Region Revenue"]}}, f'SELECT r_name AS "Region Name", c_mktsegment AS "Segment", {REV} AS "Revenue", CAST(sum(sum(rev)) OVER (PARTITION BY r_name) AS DECIMAL(18,2)) AS "Region Revenue" FROM lines GROUP BY r_name, c_mktsegment')
 add("grain_relative", {"select": {"dimensions": ["Nation Name", "Segment"], "measures": ["Revenue Without Segment"]}}, 'SELECT n_name AS "Nation Name", c_mktsegment AS "Segment", CAST(sum(sum(rev)) OVER (PARTITION BY n_name) AS DECIMAL(18,2)) AS "Revenue Without Segment" FROM lines GROUP BY n_name, c_mktsegment')
+add("grouping_with_total", {"select": {"dimensions": ["Region Name", "Segment"], "measures": ["Revenue", "Total Revenue", "Revenue Share", "Region Revenue", "Total Average Price"]}, "grouping": "rollup"}, f"""SELECT "Region Name", "Segment", "Revenue", CAST(t.v AS DECIMAL(18,2)) AS "Total Revenue", CAST(CAST(g.v AS DOUBLE) / CAST(t.v AS DOUBLE) AS DECIMAL(18,6)) AS "Revenue Share",
+  CAST(CASE WHEN "_g_Region Name" = 1 THEN t.v ELSE x.v END AS DECIMAL(18,2)) AS "Region Revenue", CAST(t.a AS DECIMAL(18,2)) AS "Total Average Price", "_g_Region Name", "_g_Segment"
+  FROM (SELECT r_name AS "Region Name", c_mktsegment AS "Segment", {REV} AS "Revenue", sum(rev) AS v, grouping(r_name) AS "_g_Region Name", grouping(c_mktsegment) AS "_g_Segment" FROM lines GROUP BY ROLLUP(r_name, c_mktsegment)) g
+  CROSS JOIN (SELECT sum(rev) AS v, avg(price) AS a FROM lines) t LEFT JOIN (SELECT r_name, sum(rev) AS v FROM lines GROUP BY r_name) x ON "Region Name" IS NOT DISTINCT FROM x.r_name""")
+add("grouping_with_context", {"select": {"dimensions": ["Region Name", "Segment"], "measures": ["Revenue", "All Flags Revenue", "Grand Unfiltered Revenue"]}, "where": [_f("Return Flag", "equals", "R")], "grouping": "cube"}, f"""SELECT r_name AS "Region Name", c_mktsegment AS "Segment", CAST(sum(rev) FILTER (l_returnflag = 'R') AS DECIMAL(18,2)) AS "Revenue", {REV} AS "All Flags Revenue", (SELECT {REV} FROM lines) AS "Grand Unfiltered Revenue",
+  grouping(r_name) AS "_g_Region Name", grouping(c_mktsegment) AS "_g_Segment" FROM lines GROUP BY CUBE(r_name, c_mktsegment)""")
 add("context_exclude", {"select": {"dimensions": ["Region Name"], "measures": ["Revenue", "All Flags Revenue", "Revenue Of All Flags"]}, "where": [_f("Return Flag", "equals", "R")]}, """SELECT r_name AS "Region Name", CAST(sum(rev) FILTER (l_returnflag = 'R') AS DECIMAL(18,2)) AS "Revenue", CAST(sum(rev) AS DECIMAL(18,2)) AS "All Flags Revenue",
   CAST(CAST(sum(rev) FILTER (l_returnflag = 'R') AS DOUBLE) / CAST(sum(rev) AS DOUBLE) AS DECIMAL(18,6)) AS "Revenue Of All Flags" FROM lines GROUP BY r_name""")
 add("context_fixed_include", {"select": {"dimensions": ["Region Name"], "measures": ["Revenue", "Fixed Status Revenue"]}, "where": [_f("Order Status", "equals", "F")]}, """SELECT r_name AS "Region Name", CAST(sum(rev) FILTER (o_orderstatus = 'F') AS DECIMAL(18,2)) AS "Revenue", CAST(sum(rev) FILTER (o_orderstatus = 'O') AS DECIMAL(18,2)) AS "Fixed Status Revenue" FROM lines GROUP BY r_name""")

@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 
 from ..engine import Engine
-from ..plans.query import leaves_of, query
+from ..plans.query import query
 
 #: Seconds of a freshness unit, and the least and most that a result is kept.
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}
@@ -38,8 +38,8 @@ class ResultCache:
         return json.dumps(asdict(query(source)), sort_keys=True, default=str)
 
     def ttl(self, source) -> float:
-        """The shortest freshness among the objects whose tables the query reads; 0 where it depends on the current date."""
-        if any(f.op == "relative" for f in leaves_of(query(source).where)):
+        """The shortest freshness among the objects whose tables the query reads; 0 where it depends on the clock or on chance."""
+        if not self.engine.deterministic(source):
             return 0
         touched = set(self.engine.tables_touched(source))
         found = [_seconds(o.meta.get("refresh")) for o in self.engine.model.data_objects.values() if ".".join(p for p in (o.database, o.schema, o.code or o.name) if p) in touched]

@@ -77,6 +77,8 @@ def test_cache(engine):
     assert cache.query(dict(QUERY)) is first
     now[0] += cache.ttl(QUERY) + 1
     assert cache.query(QUERY) is not first
+    today = {"select": {"measures": ["Orders"]}, "where": [{"field": "Order Month", "op": "relative", "value": {"unit": "day", "count": 3}}]}
+    assert cache.ttl(today) == 0 and not engine.deterministic(today) and engine.deterministic(QUERY)
     assert cache.heartbeat("lineitem") == 1 and cache.heartbeat("lineitem") == 0
 
 
