@@ -292,6 +292,8 @@ ORACLE["nested_with_parent_measure"] = 'SELECT o_orderstatus AS "Status", CAST(s
 # the BI front end
 for _name, _text, _sql in (
     ("where_having_order", "SELECT \"Region Name\", Revenue FROM trade WHERE segment = 'BUILDING' AND revenue > 100 GROUP BY 1 ORDER BY 2 DESC LIMIT 3", f"SELECT r_name AS \"Region Name\", {REV} AS \"Revenue\" FROM lines WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING sum(rev) > 100 ORDER BY 2 DESC LIMIT 3"),
+    ("exists", "SELECT \"Nation Name\", \"Customer Count\" FROM trade WHERE EXISTS (SELECT 1 FROM Events WHERE type = 'purchase' AND Segment = 'BUILDING')", "SELECT n_name AS \"Nation Name\", count(*) AS \"Customer Count\" FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE EXISTS (SELECT 1 FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE c.c_nationkey = n_nationkey AND event_type = 'purchase' AND c.c_mktsegment = 'BUILDING') GROUP BY n_name"),
+    ("not_exists", "SELECT Orders, \"Order Value\" FROM trade WHERE NOT EXISTS (SELECT 1 FROM Lineitem WHERE \"Return Flag\" = 'R' AND Brand = 'Brand#11')", f"SELECT count(*) AS \"Orders\", {VAL} AS \"Order Value\" FROM ords WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND p_brand = 'Brand#11')"),
     ("rollup", 'SELECT "Region Name", MEASURE("Order Value") FROM trade GROUP BY ROLLUP("Region Name")', f'SELECT r_name AS "Region Name", {VAL} AS "Order Value", grouping(r_name) AS "_g_Region Name" FROM ords GROUP BY ROLLUP(r_name)'),
     ("raw", "SELECT DISTINCT \"Customer\".\"Name\" FROM trade WHERE \"Region Name\" IN ('ASIA', 'EUROPE') AND NOT \"Customer\".\"Cust Key\" BETWEEN 5 AND 500", "SELECT DISTINCT c_name AS \"Customer.Name\" FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND NOT c_custkey BETWEEN 5 AND 500"),
     ("or_condition", "SELECT \"Nation Name\", Orders FROM trade WHERE Segment = 'BUILDING' OR \"Region Name\" IS NULL OR \"Order Status\" LIKE 'F%'", "SELECT n_name AS \"Nation Name\", count(*) AS \"Orders\" FROM ords WHERE c_mktsegment = 'BUILDING' OR r_name IS NULL OR o_orderstatus LIKE 'F%' GROUP BY n_name"),

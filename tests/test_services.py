@@ -41,7 +41,9 @@ def test_unknown_keys_are_refused():
         load({"dataObjects": {"A": {"code": "a", "kolumns": {}}}})
 
 
-@pytest.mark.parametrize("text", ["SELECT * FROM t", "SELECT Revenue FROM a JOIN b ON 1 = 1", "WITH x AS (SELECT 1) SELECT Revenue FROM x", "SELECT Revenue FROM (SELECT 1)", "SELECT rank() OVER (ORDER BY 1) FROM t", "SELECT Nothing FROM t", "SELECT SUM(Segment) FROM t", "SELECT Revenue FROM t WHERE Segment = 'A' OR Revenue > 1"])
+@pytest.mark.parametrize("text", ["SELECT * FROM t", "SELECT Revenue FROM a JOIN b ON 1 = 1", "WITH x AS (SELECT 1) SELECT Revenue FROM x", "SELECT Revenue FROM (SELECT 1)", "SELECT rank() OVER (ORDER BY 1) FROM t", "SELECT Nothing FROM t", "SELECT SUM(Segment) FROM t", "SELECT Revenue FROM t WHERE Segment = 'A' OR Revenue > 1", "SELECT Revenue FROM t WHERE EXISTS (SELECT 1 FROM Nothing)", "SELECT Revenue FROM t WHERE EXISTS (SELECT 1 FROM Events GROUP BY 1)",
+    "SELECT Revenue FROM t WHERE EXISTS (SELECT 1 FROM Events e)", "SELECT Revenue FROM t WHERE EXISTS (SELECT 1 FROM Events WHERE type = 'a' OR type = 'b')", "SELECT Revenue FROM t WHERE EXISTS (SELECT 1 FROM Events WHERE EXISTS (SELECT 1 FROM Orders))", "SELECT Revenue FROM t WHERE EXISTS (SELECT 1 FROM Orders WHERE Revenue > 1)",
+])
 def test_sql_that_has_no_place(engine, text):
     with pytest.raises(SemanticError):
         translate(engine.model, text)
@@ -53,6 +55,12 @@ def test_sql_conditions_find_their_place(engine):
     assert (made["limit"], made["offset"], made["orderBy"]) == (3, 1, [{"field": "2", "direction": "desc", "nulls": "last"}])
 
 
+def test_sql_exists_names_object_and_subject(engine):
+    made = translate(engine.model, "SELECT Segment, Revenue FROM trade WHERE Segment = 'A' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE Brand IN ('x', 'y') AND \"return flag\" = 'R')")
+    inner = [{"field": "Brand", "op": "inlist", "value": ["x", "y"]}, {"field": "Return Flag", "op": "equals", "value": "R"}]
+    assert made["where"] == [{"field": "Segment", "op": "equals", "value": "A"}, {"field": "Segment", "op": "nonexists", "subquery": {"dataObject": "Lineitem", "filter": inner}}]
+
+
 def test_exploration(spark, engine):
     assert find(engine.model, "regoin name", 1)[0][0] == "Region Name"
     assert "erDiagram" in diagram(engine.model) and lineage(engine.model, "Net Value") == ["Events.Value", "Orders.Total Price"]
