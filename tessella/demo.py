@@ -124,6 +124,8 @@ def document() -> dict:
         "Median Order Value": _measure("median", ("Orders", "Total Price")),
         "Order Value Deviation": _measure("stddev", ("Orders", "Total Price")),
         "Order Value Variance": _measure("var_pop", ("Orders", "Total Price")),
+        "Order Value Population Deviation": _measure("stddev_pop", ("Orders", "Total Price")),
+        "Order Value Sample Variance": _measure("variance", ("Orders", "Total Price")),
         "Usual Size": _measure("mode", ("Part", "Size")),
         "Customer Balance": _measure("sum", ("Customer", "Acct Bal")),
         "Average Balance": _measure("avg", ("Customer", "Acct Bal")),
@@ -155,7 +157,7 @@ def document() -> dict:
         "Revenue Of All Flags": {"expression": "{[Revenue]} / {[All Flags Revenue]}"},
         "Net Value": {"expression": "{[Order Value]} - {[Event Value]}"},
         "Running Value": running(), "Rolling Value": running(window=3), "Rolling Average": running(window=3, cumulativeType="avg", dataType="decimal(18,4)"), "Year To Date": running(grainToDate="year"),
-        "Running By Status": running(partitionBy=["Order Status"]), "Running Largest": running(cumulativeType="max"),
+        "Running By Status": running(partitionBy=["Order Status"]), "Running Largest": running(cumulativeType="max"), "Running Least": running(cumulativeType="min"), "Months So Far": running(cumulativeType="count"),
         "Value Rank": window("rank"), "Value Dense Rank": window("dense_rank", orderDirection="asc"), "Value Row": window("row_number", partitionBy=["Region Name"]), "Value Quartile": window("ntile", buckets=4),
         "Previous Value": window("lag", timeDimension="Order Month", offset=1), "Next Value": window("lead", timeDimension="Order Month", offset=2, defaultValue=0),
         "First Value": window("first_value", timeDimension="Order Month", orderDirection="asc"), "Last Value": window("last_value", timeDimension="Order Month", orderDirection="asc"),

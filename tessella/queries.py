@@ -153,7 +153,7 @@ for _name, _digits in (("corr", 6), ("regr_slope", 2), ("regr_intercept", 2), ("
     # floating point: the last digits depend on the order of rows
     QUERIES[f"agg_{_name}"] = lambda spark, sf_dir, m=AGGREGATES[_name][0], d=_digits: engine(spark, sf_dir).query({"select": {"dimensions": ["Line Status", "Region Name"], "measures": [m]}}).withColumn(m, F.round(f"`{m}`", d))
 group("agg_median", REGION, {"Median Order Value": "CAST(median(CAST(total AS DOUBLE)) AS DOUBLE)"}, "ords")
-for _name, _label, _sql in (("stddev", "Order Value Deviation", "stddev_samp(total)"), ("var_pop", "Order Value Variance", "var_pop(total)")):
+for _name, _label, _sql in (("stddev", "Order Value Deviation", "stddev_samp(total)"), ("var_pop", "Order Value Variance", "var_pop(total)"), ("stddev_pop", "Order Value Population Deviation", "stddev_pop(total)"), ("variance", "Order Value Sample Variance", "var_samp(total)")):
     group(f"agg_{_name}", REGION, {_label: f"round({_sql}, 0)"}, "ords")
     QUERIES[f"agg_{_name}"] = lambda spark, sf_dir, m=_label: engine(spark, sf_dir).query({"select": {"dimensions": ["Region Name"], "measures": [m]}}).withColumn(m, F.round(f"`{m}`", 0))
 group("agg_any_value", {"Order Status": "o_orderstatus"}, {"Any Status": "min(o_orderstatus)"}, "ords")
@@ -207,6 +207,7 @@ def monthly(name: str, measures: dict[str, str]) -> None:
 
 ROWS = "ORDER BY om ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
 monthly("cumulative_running", {"Running Value": f"sum(v) OVER ({ROWS.format('UNBOUNDED')})", "Running Largest": f"max(v) OVER ({ROWS.format('UNBOUNDED')})"})
+monthly("cumulative_least_and_count", {"Running Least": f"min(v) OVER ({ROWS.format('UNBOUNDED')})", "Months So Far": f"count(v) OVER ({ROWS.format('UNBOUNDED')})"})
 monthly("cumulative_rolling", {"Rolling Value": f"sum(v) OVER ({ROWS.format(2)})", "Rolling Average": f"CAST(avg(v) OVER ({ROWS.format(2)}) AS DECIMAL(18,4))"})
 monthly("cumulative_to_date", {"Year To Date": f"sum(v) OVER (PARTITION BY date_trunc('year', om) {ROWS.format('UNBOUNDED')})"})
 add("cumulative_partitioned", {"select": {"dimensions": ["Order Month", "Order Status"], "measures": ["Running By Status"]}}, f'WITH m AS (SELECT om, o_orderstatus, sum(total) AS v FROM ords GROUP BY om, o_orderstatus) SELECT om AS "Order Month", o_orderstatus AS "Order Status", sum(v) OVER (PARTITION BY o_orderstatus {ROWS.format("UNBOUNDED")}) AS "Running By Status" FROM m')
@@ -251,7 +252,7 @@ FUNCTIONS: dict[str, tuple[str, str]] = {
 DATES: dict[str, tuple[str, str]] = {
     "date_trunc": ("date_trunc('week', {ts})", "date_trunc('week', ts)"), "date_add": ("date_add('month', {user_id}, {ts})", "ts + to_months(CAST(user_id AS INTEGER))"), "date_add_quarter": ("date_add('quarter', 1, {ts})", "ts + INTERVAL 3 MONTH"), "date_diff_week": ("date_diff('week', {ts}, DATE '2024-01-01')", "date_diff('week', ts, TIMESTAMP '2024-01-01')"),
     "date_diff_month": ("date_diff('month', DATE '1999-12-31', {ts})", "date_diff('month', TIMESTAMP '1999-12-31', ts)"), "date_diff_hour": ("date_diff('hour', TIMESTAMP '2024-01-01 00:30:00', {ts})", "date_diff('hour', TIMESTAMP '2024-01-01 00:30:00', ts)"), "extract": ("extract('week', {ts}) * 10000 + EXTRACT(hour FROM {ts}) * 100 + extract('second', {ts})", "CAST(extract('week' FROM ts) * 10000 + extract('hour' FROM ts) * 100 + floor(extract('second' FROM ts)) AS INTEGER)"),
-    "last_day": ("last_day({ts})", "last_day(ts)"), "json_value": ("json_value({props}, '$.k')", "json_extract_string(props, '$.k')"),
+    "last_day": ("last_day({ts})", "last_day(ts)"), "current_date": ("date_diff('day', {ts}, current_date()) - date_diff('day', DATE '2024-01-01', current_date())", "date_diff('day', ts, current_date) - date_diff('day', DATE '2024-01-01', current_date)"), "json_value": ("json_value({props}, '$.k')", "json_extract_string(props, '$.k')"),
 }
 
 

@@ -41,6 +41,16 @@ def frames(by_code: dict[str, DataFrame]) -> Tables:
     return get
 
 
-def jdbc(spark: SparkSession, url: str, **options) -> Tables:
-    """Tables of an external database."""
-    return lambda o: spark.read.format("jdbc").options(url=url, dbtable=".".join(p for p in (o.schema, o.code) if p), **options).load()
+def jdbc(spark: SparkSession, url: str, ranges: dict[str, tuple[str, object, object, int]] | None = None, **options) -> Tables:
+    """Tables of an external database, qualified as the object is.
+
+    ``ranges`` says by code how a large table is read in parallel: (column, least, most, number of tasks).  Others come
+    through one connection.
+    """
+
+    def get(o: DataObject) -> DataFrame:
+        name = ".".join(p for p in (o.database, o.schema, o.code or o.name) if p)
+        own = zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, (ranges or {}).get(o.code or o.name, ())))
+        return spark.read.format("jdbc").options(url=url, dbtable=name, **{**options, **dict(own)}).load()
+
+    return get

@@ -7,7 +7,7 @@ from tessella.bisql import translate
 from tessella.explore import composable, diagram, find, lineage, metadata
 from tessella.sources.cache import ResultCache
 from tessella.sources.results import arrow, pattern, rows, save, tsv
-from tessella.sources.tables import folder, frames
+from tessella.sources.tables import folder, frames, jdbc
 from tessella.streaming.grained import windowed
 from tessella.validate import health, validate
 
@@ -105,3 +105,12 @@ def test_a_stream_gives_what_its_rows_give(spark, sf, tmp_path):
     done.processAllAvailable()
     done.stop()
     assert spark.sql("SELECT sum(Events) FROM grained").first()[0] == table.count()
+
+
+def test_tables_of_a_database_are_read_by_ranges(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/base;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(i, float(i % 7)) for i in range(100)], "K int, V double").write.format("jdbc").options(url=url, dbtable="APP.NUMBERS", driver=driver).mode("overwrite").save()
+    table = {"schema": "APP", "code": "NUMBERS", "columns": {"K": {"code": "K", "abstractType": "int"}, "V": {"code": "V", "abstractType": "float"}}}
+    e = Engine({"dataObjects": {"N": table}, "measures": {"Sum": {"aggregation": "sum", "columns": [{"dataObject": "N", "column": "V"}]}}}, jdbc(spark, url, {"NUMBERS": ("K", 0, 100, 4)}, driver=driver))
+    assert float(e.query({"select": {"measures": ["Sum"]}}).first()[0]) == sum(i % 7 for i in range(100))
+    assert e.tables(e.model.data_objects["N"]).rdd.getNumPartitions() == 4
