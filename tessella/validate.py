@@ -20,6 +20,10 @@ class Issue:
     severity: str = "error"
 
 
+#: The comparisons of periods, in lower case.
+COMPARISONS = ("ratio", "difference", "previousvalue", "percentchange")
+
+
 def validate(model: Model) -> list[Issue]:
     """All issues; none of severity error means that queries can be planned."""
     out: list[Issue] = []
@@ -106,8 +110,27 @@ def validate(model: Model) -> list[Issue]:
             has(m.name, c.data_object, c.column)
         for r in expression(m.name, m.expression) if m.expression else []:
             has(m.name, *(r if len(r) == 2 else (r[0], None)))
-        if m.anchor:
-            has(m.name, m.anchor, None)
+        read = {c.data_object for c in m.columns} | {r[0] for r in (refs(parse(m.expression)) if m.expression and _parses(m.expression) else []) if len(r) == 2}
+        if m.anchor and has(m.name, m.anchor, None):
+            here = {m.anchor, *graph.distances(m.anchor)}
+            for o in sorted(x for x in read if x in objects and x not in here and not here & {x, *graph.distances(x)}):
+                add("ANCHOR_UNRELATED", m.name, f"{m.anchor} and {o} share no object")
+        elif not m.anchor and len(read) > 1 and read <= set(objects) and graph.root(read) is None:
+            add("ANCHOR_NEEDED", m.name, f"no join path connects {', '.join(sorted(read))}: name an anchor")
+        for c in _filter_columns(m.filters):
+            has(m.name, c.data_object, c.column)
+        if m.within_group:
+            has(m.name, m.within_group.column.data_object, m.within_group.column.column)
+        if m.filter_context:
+            fc = m.filter_context
+            if fc.mode.upper() not in ("FIXED", "RELATIVE"):
+                add("CONTEXT_MODE", m.name, f"{fc.mode!r} is no mode of a filter context")
+            if fc.mode.upper() == "FIXED" and fc.exclude:
+                add("CONTEXT_MODE", m.name, "FIXED has nothing to exclude from")
+            for n in (*fc.exclude, *fc.keep_only, *(x.field for x in fc.include)):
+                obj, _, column = n.partition(".")
+                if n not in model.dimensions and not (obj in objects and column in objects[obj].columns):
+                    add("UNKNOWN_DIMENSION", m.name, f"no dimension or column is called {n!r}")
         if m.distinct and m.within_group and m.columns and m.within_group.column != m.columns[0]:
             add("LISTAGG_ORDER", m.name, "distinct values can't be ordered by another column")
         if m.data_type:
@@ -128,6 +151,21 @@ def validate(model: Model) -> list[Issue]:
             add("METRIC_SHAPE", m.name, f"a {m.type} metric lacks what it needs")
         if m.type not in ("derived", "cumulative", "period_over_period", "window"):
             add("METRIC_SHAPE", m.name, f"{m.type!r} is no type of metric")
+        if m.period_over_period:
+            pop = m.period_over_period
+            if pop.time_dimension not in model.dimensions:
+                add("UNKNOWN_DIMENSION", m.name, f"no dimension is called {pop.time_dimension!r}")
+            elif (c := _column(model, pop.time_dimension)) and c.abstract_type not in ("date", "timestamp", "timestamp_tz"):
+                add("TIME_GRAIN", m.name, f"{pop.time_dimension} is no date or timestamp")
+            for unit in (pop.grain, pop.offset_grain):
+                if unit not in catalog.UNITS:
+                    add("TIME_GRAIN", m.name, f"{unit!r} is no grain")
+            if pop.comparison.lower() not in COMPARISONS:
+                add("METRIC_SHAPE", m.name, f"{pop.comparison!r} is no comparison")
+            if m.expression and _parses(m.expression) and len({r[0] for r in refs(parse(m.expression))}) != 1:
+                add("PERIOD_MEASURE", m.name, "compares one measure")
+        if m.time_dimension and (c := _column(model, m.time_dimension)) and c.abstract_type not in ("date", "timestamp", "timestamp_tz"):
+            add("TIME_GRAIN", m.name, f"{m.time_dimension} is no date or timestamp")
         if m.window is not None and m.grain_to_date:
             add("METRIC_SHAPE", m.name, "window and grainToDate exclude each other")
         for n in [m.measure] if m.measure else []:
@@ -144,6 +182,25 @@ def validate(model: Model) -> list[Issue]:
     return out
 
 
+def _parses(text: str) -> bool:
+    try:
+        parse(text)
+    except SemanticError:
+        return False
+    return True
+
+
+def _filter_columns(filters) -> list:
+    """Columns that a measure's filters read, out of all groups."""
+    return [c for f in filters for c in (_filter_columns(f.filters) if hasattr(f, "filters") else [f.column] if f.column else [])]
+
+
+def _column(model: Model, dimension: str):
+    """The column below a dimension, if both are there."""
+    d = model.dimensions.get(dimension)
+    return model.data_objects[d.data_object].columns.get(d.column) if d and d.data_object in model.data_objects else None
+
+
 def _type(add, where: str, name: str) -> None:
     try:
         spark_type(name)

@@ -36,6 +36,21 @@ def test_broken_models_are_told_apart():
     assert {"UNKNOWN_COLUMN", "CYCLIC_COLUMN", "CYCLIC_JOIN", "TIME_GRAIN", "UNKNOWN_AGGREGATION", "MEASURE_ARITY", "TOTAL_UNSUPPORTED", "CYCLIC_METRIC", "UNKNOWN_MEASURE"} <= codes
 
 
+def test_anchors_contexts_and_periods_are_checked():
+    made = demo.document()
+    price = [{"dataObject": "Lineitem", "column": "Extended Price"}]
+    made["measures"] |= {
+        "Bad Context": {"aggregation": "sum", "columns": price, "filterContext": {"mode": "FIXED", "exclude": ["Nowhere"]}},
+        "Bad Filter": {"aggregation": "sum", "columns": price, "filters": [{"column": {"dataObject": "Lineitem", "column": "Nothing"}, "operator": "set"}]},
+        "Bad Anchor": {"aggregation": "sum", "expression": "{[Lineitem].[Extended Price]} + {[Documents].[Doc ID]}", "anchor": "Lineitem"},
+        "No Anchor": {"aggregation": "sum", "expression": "{[Lineitem].[Extended Price]} + {[Events].[Value]}"},
+    }
+    made["metrics"]["Bad Period"] = {"type": "period_over_period", "expression": "{[Orders]} + {[Revenue]}", "periodOverPeriod": {"timeDimension": "Segment", "grain": "eon", "offset": -1, "offsetGrain": "month", "comparison": "sideways"}}
+    found = {(i.where, i.code) for i in validate(load(made))}
+    wanted = {("Bad Context", "CONTEXT_MODE"), ("Bad Context", "UNKNOWN_DIMENSION"), ("Bad Filter", "UNKNOWN_COLUMN"), ("Bad Anchor", "ANCHOR_UNRELATED"), ("No Anchor", "ANCHOR_NEEDED"), ("Bad Period", "TIME_GRAIN"), ("Bad Period", "METRIC_SHAPE"), ("Bad Period", "PERIOD_MEASURE")}
+    assert wanted <= found and not {w for w, _ in found} - {w for w, _ in wanted}
+
+
 def test_unknown_keys_are_refused():
     with pytest.raises(SemanticError, match="UNKNOWN_KEY"):
         load({"dataObjects": {"A": {"code": "a", "kolumns": {}}}})
