@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import lean, whole_row, written
 from .graph import components
 
 #: The generator polynomial of the binary Golay code, the cut of a fingerprint (shift, bits).
@@ -210,6 +210,24 @@ def _links(key: np.ndarray, row: np.ndarray, prints: np.ndarray, bits: int) -> t
     return np.concatenate(left), np.concatenate(right)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[n, 2]: the components of the edges (a, b) again, each as edges from its least node to the others."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for end in (a, b):  # the least neighbour becomes the root of the old root too
+            np.minimum.at(root, before[end], low)
+            np.minimum.at(root, end, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[root[other]], nodes[other]], axis=1)
+
+
 class Search:
     """Links of rows (key, id, fingerprints, that of the key first) sorted by key and id.
 
@@ -227,8 +245,7 @@ class Search:
         ids, prints = rows[:, 0], rows[:, 1:].view(np.uint64)
         full, row = full_keys(key, prints[:, 0], self.bits)
         order = np.argsort(full, kind="stable")
-        a, b = _links(full[order], row[order], prints, self.most)
-        both = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1), axis=0)
+        both = stars(*(ids[x] for x in _links(full[order], row[order], prints, self.most)))
         rest = [pa.nulls(len(both), pa.int64())] * self.n
         return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), *rest], schema=self.schema)
 
@@ -339,7 +356,7 @@ def simhash_components(docs: DataFrame, width: int = 4) -> DataFrame:
 #: index of 0.8 differ in about 39 of 256, at most 48 (4 of 5 shingles), with a deviation of 6; unrelated ones in 128.
 PRINTS, CHECKED, LOOSE = 8, 4, 76
 #: Shingles and documents of one block of a cluster.
-BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 1024
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 20, 256
 #: Keeps bounds that are computed in doubles on the safe side.
 SLACK = 1e-9
 
@@ -504,9 +521,8 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     any number of links.  A row is known by two hashes of all its columns, so equal rows are one.
     """
     lean(docs.sparkSession)
-    column = {f.name: F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields}
-    plain = [column[f.name] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-    own = [F.struct(*column.values()).alias("row"), F.xxhash64(*plain).alias("w0"), F.xxhash64(F.lit("other"), *plain).alias("w1")]
+    plain = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    own = [whole_row(docs).alias("row"), F.xxhash64(*plain).alias("w0"), F.xxhash64(F.lit("other"), *plain).alias("w1")]
     marked = docs.select(*own)
     texts = marked.select(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "w0", "w1", F.col("row.text").cast("string").alias("text"))
     rows = written(sketches(texts, width))

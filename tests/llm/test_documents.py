@@ -34,6 +34,17 @@ def test_the_fit_is_the_best_that_its_documents_allow(documents, budget):
     assert abs(got - budget) <= near + max(lengths) / 2
 
 
+def test_the_fit_needs_little_memory():
+    import tracemalloc
+
+    lengths = [*range(2, 40_002, 2), 1_000_000]
+    tracemalloc.start()
+    took = mixing.fit(lengths, [1] * len(lengths), 123_457)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert abs(sum(n * k for n, k in zip(lengths, took)) - 123_457) == 1
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_mixing(request, name):
     docs = request.getfixturevalue(name)
@@ -57,6 +68,11 @@ def test_mixing(request, name):
 def test_mixed_documents_keep_their_columns(clashing):
     got = mixing.mixed(clashing)
     assert got.columns == clashing.columns and got.count() > 0
+    times = Counter(tuple(r) for r in got.select("doc_id", "text").collect())
+    want = Counter()
+    for r in mixing.mix(clashing, 7, 3.0, mixing.WEIGHTS, None, "text").collect():
+        want[r.doc_id, r.text] += r.taken // r["size"] if r.taken else 0
+    assert times == +want
 
 
 def measure(text):
@@ -109,6 +125,12 @@ def test_language_of_odd_rows(request, name):
     assert all((r.lang_pred == "und") == (r.doc_id in blank) for r in got)
 
 
+def test_rows_without_an_id_are_learned_from(spark):
+    docs = spark.createDataFrame([(None, f"some words of english prose, number {i}", "en") for i in range(1500)] + [(None, "ein und derselbe deutsche Satz", "de")] * 1500, "doc_id long, text string, lang string")
+    got = langid.identify(docs).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 1500, "de": 1500}
+
+
 def test_code_lengths_are_those_of_the_definition():
     texts = ["abracadabra", "banana bandana", "abba"]
     gram, count = langid._grams(texts)
@@ -310,3 +332,14 @@ def test_sets_that_agree_are_linked(sets, many):
         old, new = name[j], name[i]
         name = [new if x == old else x for x in name]
     assert all(name[i] == name[j] for i, j in itertools.combinations(range(len(sets)), 2) if agree(sets[i], sets[j]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_stars_keep_the_components(edges):
+    a, b = np.array([x for x, _ in edges], np.int64), np.array([y for _, y in edges], np.int64)
+    name = {x: x for e in edges for x in e}
+    for x, y in edges:
+        old, new = max(name[x], name[y]), min(name[x], name[y])
+        name = {k: new if v == old else v for k, v in name.items()}
+    assert sorted(map(tuple, simhash.stars(a, b).tolist())) == sorted((v, k) for k, v in name.items() if k != v)
