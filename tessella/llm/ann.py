@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import settled
+from .common import settled, tidy
 
 SAMPLE, SHORTLIST = 16_384, 32
 LEAST_CELLS, MOST_CELLS = 16, 1024
@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "v
 
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     distinct = rows.dropDuplicates(["vec_id", "v"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select("vec_id", "v")
-    base = settled(distinct.mapInArrow(index, "vec_id long, v array<double>, cell int, code binary"))
+    base = settled(distinct.mapInArrow(tidy(index), "vec_id long, v array<double>, cell int, code binary"))
     held = {r[0]: r[1] for r in base.groupBy("cell").count().collect()}  # one row for each cell
     count = np.array([held.get(c, 0) for c in range(len(model.centroids))])
     blocks = np.maximum(1, -(-count // BLOCK)).tolist()

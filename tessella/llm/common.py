@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
+from inspect import isgenerator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,43 @@ def _bytes(text: str) -> int:
     return int(text[:-1] if scale > 1 else text or 0) * scale
 
 
+@lru_cache(1)
+def _allocator():
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's; others give back by themselves
+    return trim or (lambda pad: 0)
+
+
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system; it waits for its next task beside the JVM otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _allocator()(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """A function of a Python worker, from batches to batches or from column to column, that gives memory back at its end."""
+
+    @wraps(work)
+    def run(*args):
+        out = work(*args)
+        if isgenerator(out):
+            return _closing(out)
+        give_back()
+        return out
+
+    return run
+
+
+def _closing(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def slices(texts: list[str], chars: int = 1_000_000, rows: int = 20_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about ``chars`` characters, so that a worker's arrays stay small."""
     a, size = 0, 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import lean, slices, tidy
 
 ORDER = 3
 #: Labelled rows to learn from, for each language (on average: rows are taken by hash).
@@ -177,7 +177,7 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
                 gram, n = _grams([t for t, x in zip(texts, own == k) if x])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = chosen.mapInArrow(tidy(count), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return Model([], np.zeros(256, np.int16), np.zeros(1, np.int32), np.zeros((0, 1), np.int32))
     counts = counts.sort_by([("lang", "ascending"), ("gram", "ascending")])
@@ -201,7 +201,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     said = F.col(text).cast("string")
     none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
-    return F.when(F.coalesce(said, F.lit("")).rlike(r"\p{L}"), F.arrow_udf(run, RESULT)(F.coalesce(said, F.lit("")))).otherwise(none)
+    return F.when(F.coalesce(said, F.lit("")).rlike(r"\p{L}"), F.arrow_udf(tidy(run), RESULT)(F.coalesce(said, F.lit("")))).otherwise(none)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import shared_encoder
-from .common import lean, settled, slices
+from .common import lean, settled, slices, tidy
 
 FAN_IN = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, task long, open boolean"
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, open_windows: int =
     pieces by offset; a loader pads it to ``size``.
     """
     lean(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_task(tokenizer, size, open_windows, slack, end_id, with_ids), SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_pack_task(tokenizer, size, open_windows, slack, end_id, with_ids)), SCHEMA)
     done, level = None, 0
     while True:
         rows = settled(rows)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .bytebpe import shared_encoder
-from .common import lean, shared_dir, slices
+from .common import lean, shared_dir, slices, tidy
 
 SHARD_IDS = 1 << 19
 #: Pairs that a round takes at most, and occurrences that make a pair frequent.
@@ -191,7 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    ordered.mapInArrow(_write_task(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(tidy(_write_task(tokenizer, end_id)), SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -212,7 +212,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 columns = [pa.array(np.full(len(ends), row["task"], np.int32)), pa.array(row["doc_id"], pa.int64()), pa.array(starts + row["first"]), pa.array(ends - starts), pa.array([zlib.crc32(x) for x in spans], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(spans, pa.binary())] if with_ids else [])], names=["task", "doc_id", "at", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    found = shards.select("task", "first", "doc_id", "ends", "terminals", "left", "right", "expands", "wide", "symbols").mapInArrow(run, schema)
+    found = shards.select("task", "first", "doc_id", "ends", "terminals", "left", "right", "expands", "wide", "symbols").mapInArrow(tidy(run), schema)
     return found.join(base, "task").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 

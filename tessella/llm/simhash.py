@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, whole_row, written
+from .common import lean, tidy, whole_row, written
 from .graph import components
 
 #: The generator polynomial of the binary Golay code, the cut of a fingerprint (shift, bits).
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
         return pa.array(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     lean(docs.sparkSession)
-    return docs.select("doc_id", F.arrow_udf(run, "long")("text").alias("fp"))
+    return docs.select("doc_id", F.arrow_udf(tidy(run), "long")("text").alias("fp"))
 
 
 @lru_cache(1)
@@ -325,8 +325,8 @@ def links(rows: DataFrame, number: int, prints: int = 1, most: int = MOST_BITS,
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), *(pa.array(own[(k + j) % prints][row]) for j in range(checked))], names=["key", "id", *(f"f{j}" for j in range(checked))])
 
     schema = ", ".join(["key int", "id long", *(f"f{j} long" for j in range(checked))])
-    by_key = rows.select("id", *(f"fp{k}" for k in range(prints))).mapInArrow(keys, schema).repartition("key").sortWithinPartitions("key", "id")
-    found = written(by_key.mapInArrow(search.run, search.ddl))
+    by_key = rows.select("id", *(f"fp{k}" for k in range(prints))).mapInArrow(tidy(keys), schema).repartition("key").sortWithinPartitions("key", "id")
+    found = written(by_key.mapInArrow(tidy(search.run), search.ddl))
     edges = found.filter("key is null").select(F.col("id").alias("a"), "b")
     crowded = found.filter("key is not null")
     if not crowded.isEmpty():
@@ -387,7 +387,7 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["h0", "h1", "n", *(f"fp{k}" for k in range(PRINTS))])
 
     kind = f"struct<h0:long, h1:long, n:long, {', '.join(f'fp{k}:long' for k in range(PRINTS))}>"
-    return texts.select("doc", "w0", "w1", F.arrow_udf(run, kind)("text").alias("s")).select("doc", "w0", "w1", "s.*")
+    return texts.select("doc", "w0", "w1", F.arrow_udf(tidy(run), kind)("text").alias("s")).select("doc", "w0", "w1", "s.*")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -398,7 +398,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, sets)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
-    return texts.withColumn("shingles", F.arrow_udf(run, "array<long>")("text")).drop("text")
+    return texts.withColumn("shingles", F.arrow_udf(tidy(run), "array<long>")("text")).drop("text")
 
 
 def agreeing(shingle: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -478,7 +478,7 @@ def decided(rows: DataFrame, least: float) -> DataFrame:
 
     lean(rows.sparkSession)
     met = rows.select("cluster", "x", "y", "id", "shingles").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    return written(met.mapInArrow(run, "a long, b long"))
+    return written(met.mapInArrow(tidy(run), "a long, b long"))
 
 
 def agreed(members: DataFrame, texts: DataFrame, width: int, least: float, repeated: bool) -> DataFrame:

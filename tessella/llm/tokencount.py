@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, tidy
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
@@ -159,4 +159,4 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
     lean(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)

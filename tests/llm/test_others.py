@@ -159,18 +159,3 @@ def test_recall_on_the_table(spark, size):
         s[ids == q] = -9
         found += len(got[q] & set(ids[np.argsort(-s)[:5]]))
     assert len(got) == (ids % 50 == 0).sum() and found >= 0.9 * 5 * len(got)
-
-
-def test_pipeline(spark, sf, odd, none):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, sf)
-        assert docs.columns == before.columns and 0 < docs.count() <= 3 * before.count(), name
-    assert corpus_pipeline.run(spark, sf).count() > 0
-    for rows in (odd, none):
-        docs = rows
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf)
-        docs.count()
