@@ -60,7 +60,22 @@ def written(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFram
     if fewer > 1:
         df = df.coalesce(max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Bytes of a batch that goes to a Python worker; Spark's own default would hold many long texts at once, on either side.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 #: Edges are few beside what they were found in.
@@ -17,23 +17,34 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node takes its least neighbour as parent, pointers jump until all stand on nodes
     without a smaller neighbour, and edges are relabelled to these; at least half of the nodes go in
-    each round, and jumps double the way.  Minima are pre-aggregated, and joins read checkpoints on both
+    each round, and jumps double the way.  Minima are pre-aggregated, and joins read written tables on both
     sides, so a node with very many edges is split.
     Nodes of any orderable type; no edges give no rows.
     """
     edges, labels = written(edges.filter("a <> b").select("a", "b").distinct(), FEWER, 12), None
+    before, kept = edges, None
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), FEWER, 12)
         while True:
             further = written(_relabel(parent, parent), FEWER, 12)
-            parent = further.select("node", "root")
+            discard(parent)
+            parent = further
             if further.filter("moved").isEmpty():
                 break
-        labels = parent if labels is None else written(_relabel(labels, parent).select("node", "root"), FEWER, 12)
+        own, parent = parent, parent.select("node", "root")
+        if labels is None:
+            labels, kept = parent, own
+        else:
+            old, kept = kept, written(_relabel(labels, parent).select("node", "root"), FEWER, 12)
+            labels = kept
         for end in ("a", "b"):
             edges = edges.join(parent, edges[end] == parent["node"], "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
         edges = written(edges.filter("a <> b").distinct(), FEWER, 12)
+        discard(before, *([own, old] if own is not kept else []))
+        before = edges
+    discard(before)
+    labels.written_to = kept.written_to
     return labels
 
 

@@ -29,7 +29,6 @@ columns of the input are ignored (``keep_one`` hands them through, whatever thei
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, tidy, whole_row, written
+from .common import discard, lean, tidy, whole_row, written
 from .graph import components
 
 #: The generator polynomial of the binary Golay code, the cut of a fingerprint (shift, bits).
@@ -141,7 +140,8 @@ def halves(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def deal_bits(rows: int) -> int:
     """Bits of the second half that rows are dealt by, so that groups of ``rows`` fingerprints have about ``GROUP_ROWS``."""
-    return min(HALF, max(0, math.ceil(math.log2(max(1, rows * 5.4 / 4096 / GROUP_ROWS)))))
+    # 5.4 first halves a fingerprint, among 4096, and 10.7 second halves, which share leading bits at first
+    return next((bits for bits in range(HALF) if rows * 5.4 * min(2**bits, 10.7) <= GROUP_ROWS * 4096 * 2**bits), HALF)
 
 
 def group_keys(prints: np.ndarray, bits: int, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +331,7 @@ def links(rows: DataFrame, number: int, prints: int = 1, most: int = MOST_BITS,
     crowded = found.filter("key is not null")
     if not crowded.isEmpty():
         edges = edges.unionByName(_blocks(crowded, search).select(F.col("id").alias("a"), "b"))
+    edges.written_to = found.written_to
     return edges
 
 
@@ -339,11 +340,14 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     # Nodes sort by smallest doc_id; a fingerprint without any comes last.
     node = F.struct(F.coalesce("low", F.lit(2**63 - 1)).alias("low"), "fp")
-    edges = links(least.select(F.col("fp").alias("id"), F.col("fp").alias("fp0")), least.count())
+    edges = found = links(least.select(F.col("fp").alias("id"), F.col("fp").alias("fp0")), least.count())
     for end in ("a", "b"):
         edges = edges.withColumnRenamed(end, "fp").join(least.select("fp", node.alias(end)), "fp").drop("fp")
-    root = components(edges.select("a", "b")).select("node.fp", F.col("root.low").alias("root"))
-    return written(least.join(root, "fp", "left").select("fp", F.coalesce(F.when(F.col("root") < 2**63 - 1, F.col("root")), "low").alias("component_id")))
+    label = components(edges.select("a", "b"))
+    root = label.select("node.fp", F.col("root.low").alias("root"))
+    out = written(least.join(root, "fp", "left").select("fp", F.coalesce(F.when(F.col("root") < 2**63 - 1, F.col("root")), "low").alias("component_id")))
+    discard(label, found, least)
+    return out
 
 
 def simhash_components(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -492,16 +496,20 @@ def agreed(members: DataFrame, texts: DataFrame, width: int, least: float, repea
         found = found.dropDuplicates(["id"])
     sets = shingle_sets(found, width)
     if large.isEmpty():
-        return decided(sets, least)
-    sets = written(sets)
-    edges = decided(sets, least)
-    sets = sets.filter("blocks > 1")
+        edges = decided(sets, least)
+        discard(large)
+        return edges
+    whole = written(sets)
+    edges = decided(whole, least)
+    sets = whole.filter("blocks > 1")
     for last in (False, True):
-        label = components(edges).withColumnRenamed("node", "id")
-        now = written(sets.select("cluster", "id", "blocks", "x").join(label, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        label = components(edges)
+        now = written(sets.select("cluster", "id", "blocks", "x").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+        discard(label)
         firsts = now.groupBy("cluster", "root").agg(F.first("blocks").alias("blocks"))
         apart = firsts.groupBy("cluster").agg(F.count("*").alias("parts"), F.first("blocks").alias("blocks")).filter("parts > 1")
         if apart.isEmpty():
+            discard(now)
             break
         if last:  # all pairs of blocks
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -510,7 +518,10 @@ def agreed(members: DataFrame, texts: DataFrame, width: int, least: float, repea
             few = apart.select("cluster", F.least("blocks", F.ceil(F.col("parts") / BLOCK_DOCS)).cast("int").alias("few"))
             block = F.pmod(F.xxhash64("id"), F.col("few")).cast("int")
             meet = firsts.select("cluster", F.col("root").alias("id")).join(few, "cluster").select("id", "cluster", block.alias("x"), block.alias("y"))
-        edges = written(edges.unionByName(decided(meet.join(sets.select("id", "shingles"), "id"), least)))
+        more = decided(meet.join(sets.select("id", "shingles"), "id"), least)
+        before, edges = edges, written(edges.unionByName(more))
+        discard(more, now, before)
+    discard(large, whole)
     return edges
 
 
@@ -530,11 +541,17 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     again = not repeated.isEmpty()
     values = [F.first(c).alias(c) for c in ("n", *(f"fp{k}" for k in range(PRINTS)))]
     firsts = written(rows.groupBy("h0", "h1").agg(F.min(F.struct("doc", "w0", "w1")).alias("low"), *values).drop("h0", "h1").withColumn("id", F.monotonically_increasing_id()))
-    cluster = components(links(firsts, firsts.count(), PRINTS, LOOSE, CHECKED)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    near = links(firsts, firsts.count(), PRINTS, LOOSE, CHECKED)
+    loose = components(near)
+    cluster = loose.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     members = written(firsts.select("id", "n", "low.w0", "low.w1").join(cluster, "id"))
-    root = components(agreed(members, texts, width, least, again)).select(F.col("node").alias("id"), "root")
+    discard(rows, near, loose)
+    found = agreed(members, texts, width, least, again)
+    label = components(found)
+    root = label.select(F.col("node").alias("id"), "root")
     groups = firsts.select("id", "low").join(root, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low"))
     stays = written(groups.select("low.w0", "low.w1"))
+    discard(members, found, label, firsts)
     kept = marked.join(stays, ["w0", "w1"], "left_semi")
     if again:
         once = kept.join(repeated, ["w0", "w1"], "left_semi").dropDuplicates(["w0", "w1"])

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import lean, tidy
 
 MARK = "▁"
+#: What a normalising model would rewrite: wide and joined letters, marks after letters, signs, two blanks, line ends, tabs.
+PROBE = "Ａ ﬁ e\u0301 ① ½ \u00a0x  y\tz\nÅ ．"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fits_chars", pa.int64())])
@@ -64,6 +66,8 @@ class PrefixCounter:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=file)
         lib = self.library
+        if (got := lib.normalize(PROBE)) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError(f"the model rewrites text before it encodes: {got!r}")
         normal = [i for i in range(lib.get_piece_size()) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.piece = {lib.id_to_piece(i) for i in normal}
         self.longest = max(map(len, self.piece))
