@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import langid, mixing, packing, quality, simhash
-from tessella.llm.common import shared_dir, table, whole_row
+from tessella.llm.common import delete, shared_dir, table, whole_row
 from tessella.llm.queries import BYTES
 
 #: A text is no prose in any learned language beyond this code length; equal odds of all bytes cost 8.
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return docs
