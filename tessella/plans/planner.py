@@ -333,12 +333,14 @@ class Planner:
                 if mixed and self.measure_objects(m) - mixed:
                     self.warn(f"MIXED_GRAIN: {m.name} reads {', '.join(sorted(mixed))} once per row of {roots[m.name]}")
         keys = {root: self.identity(scope, root) for root in dedup}
+        grouped = {root: self.join_columns(scope, root) or own for root, own in keys.items()}
         df = scope.frame()
         arg = lambda m: [f"{m.name}{SEP}{i}" for i in range(len(args[m.name]))]
         main = [m for m in measures if not any(m in ms for ms in dedup.values())]
         columns = [c.alias(n) for m in measures for c, n in zip(args[m.name], arg(m))]
-        key_names = {root: [f"{SEP}{root}{SEP}{i}" for i in range(len(k))] for root, k in keys.items()}
-        rows = df.select(*dims, *columns, *(c.alias(n) for root in keys for c, n in zip(keys[root], key_names[root])))
+        key_names = {root: [f"{SEP}{root}{SEP}{i}" for i in range(len(k))] for root, k in grouped.items()}
+        there = {root: reduce(lambda a, b: a & b, [k.isNotNull() for k in own]).alias(f"{SEP}{root}{SEP}there") for root, own in keys.items()}
+        rows = df.select(*dims, *columns, *(c.alias(n) for root in keys for c, n in zip(grouped[root], key_names[root])), *there.values())
         agg = lambda m: self.finished(m, aggregates.aggregate(m, arg(m), self.is_whole(m))).alias(m.name)
         if self.query.grouping:
             if dedup:
@@ -349,43 +351,60 @@ class Planner:
             return rows.groupBy(*map(q, labels)).agg(*map(agg, main)) if main else rows.select(*map(q, labels)).distinct() if labels else rows.limit(0)
         for root, ms in dedup.items():
             self.plan.steps.append(f"count rows of {root} once for {', '.join(m.name for m in ms)}")
-        one = self.in_one_pass(rows, labels, main, dedup, key_names, arg)
+        one = self.in_one_pass(rows, labels, main, dedup, key_names, arg, self.chain(scope, dedup))
         if one is not None:
             return one
         out = rows.groupBy(*map(q, labels)).agg(*map(agg, main)) if main else rows.select(*map(q, labels)).distinct() if labels else None
         for root, ms in dedup.items():
-            there = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in key_names[root]])
             firsts = [F.any_value(q(a)).alias(a) for m in ms for a in arg(m)]
-            once = rows.filter(there).groupBy(*map(q, labels), *map(q, key_names[root])).agg(*firsts)
+            once = rows.filter(q(f"{SEP}{root}{SEP}there")).groupBy(*map(q, labels), *map(q, key_names[root])).agg(*firsts)
             part = once.groupBy(*map(q, labels)).agg(*map(agg, ms))
             out = part if out is None else self.joined(out, part, [m.name for m in ms])
         return out
 
-    def in_one_pass(self, rows: DataFrame, labels: list[str], main: list[Measure], dedup: dict, key_names: dict, arg) -> DataFrame | None:
-        """Both grains from one scan: partial results per (dimensions, key), then the whole.  For one deduplicated object and results that add up."""
-        if len(dedup) != 1 or any(m.aggregation not in aggregates.OUTER or m.distinct for m in main):
+    def chain(self, scope: Scope, roots) -> list[str] | None:
+        """The objects from the nearest to the farthest, if each lies on the way to the next."""
+        path = {root: next(p for p, n in scope.instances.items() if n == scope.instance(root)) for root in roots}
+        out = sorted(path, key=lambda r: len(path[r]))
+        return out if all(path[b][: len(path[a])] == path[a] for a, b in zip(out, out[1:])) else None
+
+    def in_one_pass(self, rows: DataFrame, labels: list[str], main: list[Measure], dedup: dict, key_names: dict, arg, chain: list[str] | None) -> DataFrame | None:
+        """All grains from one scan: partial results by (dimensions, key of the nearest object), then by the next one's key,
+        then the whole.  For objects in a chain and results that add up."""
+        if chain is None or any(m.aggregation not in aggregates.OUTER or m.distinct for m in (*main, *(m for root in chain[:-1] for m in dedup[root]))):
             return None
-        (root, ms), = dedup.items()
-        inner, outer = [], []
-        for m in main:
-            if m.aggregation == "avg":
-                total, n = f"{m.name}{SEP}sum", f"{m.name}{SEP}n"
-                inner += [F.sum(q(arg(m)[0])).alias(total), F.count(q(arg(m)[0])).alias(n)]
-                top = F.sum(q(total)).cast("decimal(38,0)") if self.is_whole(m) else F.sum(q(total))
-                joined = top / F.nullif(F.sum(q(n)), F.lit(0))
-            else:
-                inner.append(aggregates.aggregate(m, arg(m)).alias(m.name))
-                joined = getattr(F, aggregates.OUTER[m.aggregation])(q(m.name))
-            outer.append(self.finished(m, joined).alias(m.name))
-        firsts = [F.any_value(q(a)).alias(a) for m in ms for a in arg(m)]
-        part = rows.groupBy(*map(q, labels), *map(q, key_names[root])).agg(*inner, *firsts)
-        # rows without a key form one group: what they say about the object doesn't count
-        there = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in key_names[root]])
-        for m in ms:
-            part = part.withColumns({a: F.when(there, q(a)) for a in arg(m)})
-        own = [self.finished(m, aggregates.aggregate(m, arg(m), self.is_whole(m))).alias(m.name) for m in ms]
-        out = part.groupBy(*map(q, labels)).agg(*outer, *own)
-        counts = [m.name for m in main if m.aggregation == "count"]
+        parts = lambda m: (f"{m.name}{SEP}sum", f"{m.name}{SEP}n")
+        there = lambda root: f"{SEP}{root}{SEP}there"
+
+        def first(m: Measure) -> list[Column]:
+            if m.aggregation != "avg":
+                return [aggregates.aggregate(m, arg(m)).alias(m.name)]
+            return [how(q(arg(m)[0])).alias(n) for how, n in zip((F.sum, F.count), parts(m))]
+
+        def more(m: Measure) -> list[Column]:
+            if m.aggregation != "avg":
+                return [getattr(F, aggregates.OUTER[m.aggregation])(q(m.name)).alias(m.name)]
+            return [F.sum(q(n)).alias(n) for n in parts(m)]
+
+        def last(m: Measure) -> Column:
+            if m.aggregation != "avg":
+                return more(m)[0]
+            total, n = (F.sum(q(x)) for x in parts(m))
+            return (total.cast("decimal(38,0)") if self.is_whole(m) else total) / F.nullif(n, F.lit(0))
+
+        part, raw, partial = rows, main, []
+        for i, root in enumerate(chain):
+            carried = [x for r in chain[i:] for x in (there(r), *(a for m in dedup[r] for a in arg(m)))] + [k for r in chain[i + 1 :] for k in key_names[r]]
+            made = [c for m in raw for c in first(m)] + [c for m in partial for c in more(m)] + [F.any_value(q(x)).alias(x) for x in carried]
+            part = part.groupBy(*map(q, labels), *map(q, key_names[root])).agg(*made)
+            # what rows without the object say about it doesn't count
+            for m in dedup[root]:
+                part = part.withColumns({a: F.when(q(there(root)), q(a)) for a in arg(m)})
+            partial, raw = [*partial, *raw], dedup[root]
+        whole = [self.finished(m, last(m)).alias(m.name) for m in partial]
+        own = [self.finished(m, aggregates.aggregate(m, arg(m), self.is_whole(m))).alias(m.name) for m in raw]
+        out = part.groupBy(*map(q, labels)).agg(*whole, *own)
+        counts = [m.name for m in partial if m.aggregation == "count"]
         return out.withColumns({n: F.coalesce(q(n), F.lit(0)) for n in counts}) if counts and not labels else out
 
     def measure_and_dim_objects(self, measures: list[Measure]) -> set[str]:
@@ -416,6 +435,16 @@ class Planner:
             raise SemanticError("NO_IDENTITY", f"{root} has no primary key to count its rows once by")
         return scope.key_of(instance, root, tuple(names))
 
+    def join_columns(self, scope: Scope, root: str) -> list[Column] | None:
+        """The fact's own columns that name the row of ``root``, if one join by its key leads there: rows stay where the
+        join has put them."""
+        path = next(p for p, n in scope.instances.items() if n == scope.instance(root))
+        names = self.model.data_objects[root].key
+        if len(path) != 1 or path[0].nested or path[0].path_name == "nested" or names and set(names) != set(path[0].end_columns):
+            return None
+        stored = [self.model.column(o, c) for o, cs in ((path[0].start, path[0].start_columns), (root, path[0].end_columns)) for c in cs]
+        return scope.key_of(scope.root, path[0].start, path[0].start_columns) if all(c.expression is None for c in stored) else None
+
     def joined(self, left: DataFrame, right: DataFrame, bring: list[str], labels: list[str] | None = None) -> DataFrame:
         """``right``'s columns on the rows of ``left``, by dimensions (all unless told), null equal to null."""
         labels = [d.label for d in self.dims] if labels is None else labels
