@@ -61,11 +61,12 @@ def extract(unit: str, x: Column) -> Column:
 
 
 def trunc(x: Column, n: Column | None = None) -> Column:
-    """Toward zero, in decimal arithmetic so that 2.3 keeps its digits."""
+    """Toward zero, in decimal arithmetic so that 2.3 keeps its digits; doubles beyond 10^18 have none behind the point."""
     n = F.lit(0) if n is None else n
-    scale = F.power(F.lit(10), n)
-    exact = (F.abs(x).cast("decimal(38,12)") * scale.cast("decimal(18,6)")).cast("decimal(38,9)")
-    return F.sign(x.cast("double")) * F.floor(exact).cast("double") / scale
+    scale, near = F.power(F.lit(10), n), F.abs(x.cast("double")) < 1e18
+    exact = (F.abs(x).try_cast("decimal(38,12)") * scale.try_cast("decimal(18,6)")).try_cast("decimal(38,9)")
+    cut = F.coalesce(F.when(near, F.floor(exact).cast("double")), F.abs(x.cast("double")) * scale)
+    return F.sign(x.cast("double")) * cut / scale
 
 
 def logarithm(base: Column, x: Column) -> Column:
@@ -82,7 +83,7 @@ def _strict(choose: Callable[..., Column]) -> Callable[..., Column]:
     return build
 
 
-PATH = re.compile(r"\$(\.[A-Za-z_][A-Za-z0-9_]*|\[\d+\])*")
+PATH = re.compile(r"\$(\.[A-Za-z_][A-Za-z0-9_]*|\[\d+\])+")
 
 
 def json_value(x: Column, path: str) -> Column:
@@ -150,5 +151,6 @@ FUNCTIONS: dict[str, Function] = {
 
 def trunc_div(a: Column, b: Column) -> Column:
     """Whole part of a / b, toward zero; null where b is zero."""
-    low, high = a.cast("decimal(38,10)"), F.nullif(b, F.lit(0)).cast("decimal(28,10)")
-    return ((low - low % high) / high).cast("bigint")
+    low, high = a.try_cast("decimal(38,10)"), F.nullif(b, F.lit(0)).try_cast("decimal(28,10)")
+    whole = a.cast("double") / F.nullif(b, F.lit(0)).cast("double")
+    return F.coalesce(((low - low % high) / high).try_cast("bigint"), F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole)))
