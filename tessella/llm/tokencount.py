@@ -3,8 +3,8 @@
 For BPE the encoding of a prefix ends in exactly one token that follows its predecessor validly: the
 one vocabulary suffix ``t`` of the prefix for which (last token before ``t``, ``t``) encode together
 to themselves.  So one pass over the characters gives the token count of every prefix.  Blanks and
-line ends bound what can merge, hence a text's counts are those of its words, summed, and each
-distinct word is solved once.  Whether two tokens stay apart is asked of the library and remembered.
+line ends bound what can merge, hence a text's counts are those of its words, summed: a batch of texts is cut
+at once, and each distinct word is solved once and remembered.  Whether two tokens stay apart is asked of the library and remembered.
 
 Defined results: a null text is empty and has 0 tokens; equal rows and doc_ids are counted row by
 row; other columns of the input are ignored; an empty table gives no rows.  Text is taken whole.
@@ -17,7 +17,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ MARK = "▁"
 #: What a normalising model would rewrite: wide and joined letters, marks after letters, signs, two blanks, line ends, tabs.
 PROBE = "Ａ ﬁ e\u0301 ① ½ \u00a0x  y\tz\nÅ ．"
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
+#: Characters from which a text is cut alone.
+LONG = 50_000_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fits_chars", pa.int64())])
 
@@ -70,7 +74,12 @@ class PrefixCounter:
             raise ValueError(f"the model rewrites text before it encodes: {got!r}")
         normal = [i for i in range(lib.get_piece_size()) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.piece = {lib.id_to_piece(i) for i in normal}
-        self.longest = max(map(len, self.piece))
+        self.backwards: dict = {}  # the pieces from their ends: character -> the same before it, "" -> the piece
+        for p in self.piece:
+            node = self.backwards
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.piece):
             raise ValueError("the vocabulary has pieces that cross words")
         self.pairs = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
@@ -85,23 +94,29 @@ class PrefixCounter:
 
     def solve(self, s: str) -> tuple[int, ...]:
         """Token counts of every prefix of ``s`` (no text between a blank and the next but this)."""
-        count, last, piece, apart = [0], [None], self.piece, self.apart
+        count, last, apart, backwards = [0], [None], self.apart, self.backwards
         for j in range(1, len(s) + 1):
-            for i in range(max(0, j - self.longest), j):
-                if (t := s[i:j]) in piece:
-                    before = last[i]
-                    if before is None:
+            node, i = backwards, j
+            while i:
+                i -= 1
+                if (node := node.get(s[i])) is None:
+                    i = -1
+                    break
+                if (t := node.get("")) is not None:
+                    if (before := last[i]) is None:
                         break
                     if (ok := apart.get((before, t))) is None:
                         ok = self.stay_apart(before, t)
                     if ok:
                         break
-            else:  # not in the vocabulary: a token for each byte
+            else:
+                i = -1
+            if i < 0:  # not in the vocabulary: a token for each byte
                 count.append(count[-1] + len(s[j - 1].encode()))
                 last.append(None)
-                continue
-            count.append(count[i] + 1)
-            last.append(t)
+            else:
+                count.append(count[i] + 1)
+                last.append(t)
         return tuple(count)
 
     def parts(self, text: str) -> list[tuple[int, ...]]:
@@ -111,10 +126,42 @@ class PrefixCounter:
             self.apart.clear()
         if not text:
             return []
-        if "  " in text or MARK in text or " \n" in text or text[0] in " \n":
+        if not self.plain(text):
             return [self.solve(run) for run in RUN.findall(MARK + text.replace(" ", MARK))]
         return list(map(self.words.__getitem__, text.replace("\n", " \n").split(" ")))
 
+    def plain(self, text: str) -> bool:
+        """Whether single blanks and line ends part the words of a text."""
+        return not ("  " in text or MARK in text or " \n" in text or text[0] in " \n")
+
+    def totals(self, texts: list[str], limit: int) -> tuple[np.ndarray, list[int]]:
+        """Token counts of texts, and how many characters of each the limit leaves."""
+        out, fits = np.zeros(len(texts), np.int64), list(map(len, texts))
+        together = [i for i, t in enumerate(texts) if t and len(t) < LONG and self.plain(t)]
+        for i in set(range(len(texts))).difference(together):
+            parts = self.parts(texts[i])
+            out[i] = sum(map(itemgetter(-1), parts))
+            if out[i] > limit:
+                fits[i] = self.fits(parts, limit)
+        if not together:
+            return out, fits
+        if len(self.words) > self.memo or len(self.apart) > 4 * self.memo:
+            self.words.clear()
+            self.apart.clear()
+        cut = pc.split_pattern(pc.replace_substring(pa.array([texts[i] for i in together], pa.string()), "\n", " \n"), " ")
+        words = cut.flatten().dictionary_encode()
+        known = [self.words[w] for w in words.dictionary.to_pylist()]
+        index, starts = words.indices.to_numpy(), cut.offsets.to_numpy()
+        size = np.fromiter(map(itemgetter(-1), known), np.int64, len(known))[index]
+        out[together] = np.add.reduceat(size, starts[:-1])
+        for i, a, b in zip(together, starts[:-1].tolist(), starts[1:].tolist()):
+            if out[i] > limit:
+                # the last word that begins within the limit: a prefix of it fits, or its beginning does
+                last = int(np.searchsorted(np.cumsum(size[a:b]) - size[a:b], limit, "right"))
+                parts = [known[k] for k in index[a : a + last].tolist()]
+                fits[i] = self.fits(parts, limit)
+        return out, fits
+
     def count(self, text: str) -> int:
         return sum(map(itemgetter(-1), self.parts(text)))
 
@@ -152,14 +199,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared_counter(model)
         for batch in batches:
-            n_bytes, n_tokens, fits = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                parts = counter.parts(text)
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(n := sum(map(itemgetter(-1), parts)))
-                fits.append(len(text) if n <= limit else counter.fits(parts, limit))
-            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            n_tokens, fits = counter.totals(texts, limit)
+            n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+            columns = [batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(fits, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
     lean(docs.sparkSession)
