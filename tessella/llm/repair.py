@@ -33,76 +33,103 @@ from .bytebpe import shared_encoder
 from .common import lean, shared_dir, slices, tidy
 
 SHARD_IDS = 1 << 19
-#: Pairs that a round takes at most, and occurrences that make a pair frequent.
-PAIRS, LEAST = 2048, 32
+#: Occurrences that make a pair frequent.
+LEAST = 32
 SCHEMA = "task int, shard int, first long, ids long, doc_id array<long>, ends array<long>, terminals int, left array<int>, right array<int>, expands array<int>, wide boolean, symbols binary"
 _LISTS = {"doc_id": pa.int64(), "ends": pa.int64(), "left": pa.int32(), "right": pa.int32(), "expands": pa.int32()}
 _PLAIN = {"task": pa.int32(), "shard": pa.int32(), "first": pa.int64(), "ids": pa.int64(), "terminals": pa.int32(), "wide": pa.bool_(), "symbols": pa.binary()}
 ARROW = pa.schema([(n, pa.list_(_LISTS[n]) if n in _LISTS else _PLAIN[n]) for n in (x.split()[0] for x in SCHEMA.split(", "))])
 
 
-HASH_BITS = 19
-
-
-def _pairs(symbols: np.ndarray, least: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, occurrences, places, pair at each place) of the frequent pairs, or of those in the ``most`` fullest buckets."""
-    bucket = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(32 - HASH_BITS)
-    equal = symbols[:-1] == symbols[1:]
-    if equal.any():  # every second pair of a run
-        place = np.arange(len(equal))
-        begin = np.maximum.accumulate(np.where(equal & ~np.concatenate([[False], equal[:-1]]), place, 0))
-        counted = ~equal | ((place - begin) % 2 == 0)
-    else:
-        counted = np.ones(len(bucket), bool)
-    count = np.bincount(bucket[counted], minlength=1 << HASH_BITS)
-    full = np.flatnonzero(count >= least)
-    if most is not None and len(full) > most:
-        full = full[np.argpartition(count[full], -most)[-most:]]
-    wanted = np.zeros(1 << HASH_BITS, bool)
-    wanted[full] = True
-    at = np.flatnonzero(wanted[bucket] & counted)
-    pair, where, number = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_inverse=True, return_counts=True)
-    return pair, number, at, where
-
-
-def compress(ids: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right) of a grammar whose expansion is ``ids``; ids are below ``first``.  No pair of symbols is frequent."""
-    symbols = ids.astype(np.uint32)
+def _pairs(a: np.ndarray, b: np.ndarray, at: np.ndarray, follows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, occurrences, places, pair at each place) of the pairs (a, b) that begin ``at`` places in order; rare ones may lack.
+
+    ``follows``: whether a place directly follows the one before.  Pairs are counted by hash bucket; of a full bucket the
+    pair that stands last is counted by comparison, others by sorting.
+    """
+    equal, second = np.flatnonzero(a == b), None
+    if len(equal) > 1:  # every second pair of a run
+        number = np.arange(len(equal))
+        begins = np.concatenate([[True], (equal[1:] != equal[:-1] + 1) | ~follows[equal[1:]]])
+        second = equal[(number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 1]
+    bits = max(10, len(at).bit_length())
+    bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(32 - bits)
+    full = np.bincount(bucket, minlength=1 << bits) >= least
+    slots = int(full.sum())
+    slot = np.full(1 << bits, -1, np.int32)
+    slot[full] = np.arange(slots)
+    where = slot.take(bucket)
+    if second is not None:
+        where[second] = -1
+    found = np.flatnonzero(where >= 0)
+    at, where, a, b = (x.take(found) for x in (at, where, a, b))
+    key = a.astype(np.uint64) << np.uint64(32) | b
+    pair = np.zeros(slots, np.uint64)
+    pair[where] = key
+    others = np.flatnonzero(pair[where] != key)
+    if len(others):
+        more, back = np.unique(key[others], return_inverse=True)
+        where[others] = slots + back
+        pair = np.concatenate([pair, more])
+    return pair, np.bincount(where, minlength=len(pair)), at, where
+
+
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, left, right) of a grammar whose expansion is ``ids``; ids are below ``first``.  No pair of symbols is frequent.
+
+    Places keep their numbers: ``after`` and ``before`` name the neighbours, so a round costs what it counts.
+    """
+    n = len(ids)
+    symbols, gone = ids.astype(np.uint32), np.zeros(n, bool)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    known, most = first, pairs
-    while len(symbols) > 1:
-        pair, number, at, where = _pairs(symbols, least, most)
+    known, at = first, np.arange(max(0, n - 1), dtype=np.int64)
+    a, b, follows = symbols[:-1], symbols[1:], np.ones(max(0, n - 1), bool)
+    while len(at):
+        pair, number, at, where = _pairs(a, b, at, follows, least)
         opens: set[int] = set()
         closes: set[int] = set()
-        chosen = np.full(len(pair), -1, np.int64)
-        a_of, b_of = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         frequent = np.flatnonzero(number >= least)
+        frequent = frequent[np.lexsort((pair[frequent], -number[frequent]))]
+        a_of, b_of = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new: list[int] = []
-        for k in frequent[np.argsort(-number[frequent], kind="stable")].tolist():
-            a, b = int(a_of[k]), int(b_of[k])
-            if a not in closes and b not in opens and (a != b or a not in opens and a not in closes):
-                opens.add(a)
-                closes.add(b)
-                chosen[k] = known + len(new)
+        for k, x, y in zip(frequent.tolist(), a_of[frequent].tolist(), b_of[frequent].tolist()):
+            if x not in closes and y not in opens and (x != y or x not in opens):
+                opens.add(x)
+                closes.add(y)
                 new.append(k)
         if not new:
-            if most is None:
-                break
-            most = None  # the fullest buckets held only rare pairs
-            continue
-        named = chosen[where]
-        hit = named >= 0
-        place = at[hit]
-        symbols[place] = named[hit]
-        keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
-        symbols = symbols[keep]
+            break
+        chosen = np.full(len(pair), -1, np.int64)
+        chosen[frequent] = -2  # to be counted again
+        chosen[new] = known + np.arange(len(new))
+        named = chosen.take(where)
+        hit = np.flatnonzero(named >= 0)
+        place = at.take(hit)
+        waits = at.take(np.flatnonzero(named == -2))
+        again = np.zeros(n + 1, bool)
+        again[waits] = again[after.take(waits)] = True  # a run may begin elsewhere now
+        symbols[place] = named.take(hit)
+        second = after.take(place)
+        gone[second] = True
+        third = after.take(second)
+        after[place] = third
+        inside = third < n
+        before[third[inside]] = place[inside]
+        again[place] = again[before.take(place)] = True
+        again[second] = again[n] = False
+        at = np.flatnonzero(again)
+        then = after.take(at)
+        if len(then) and then[-1] == n:
+            at, then = at[:-1], then[:-1]
+        a, b = symbols.take(at), symbols.take(then)
+        follows = np.concatenate([[False], at[1:] == then[:-1]])
         left.append(a_of[new])
         right.append(b_of[new])
-        known, most = known + len(new), pairs
+        known += len(new)
     empty = [np.zeros(0, np.int64)]
-    return symbols, np.concatenate(left or empty).astype(np.int32), np.concatenate(right or empty).astype(np.int32)
+    return symbols[~gone], np.concatenate(left or empty).astype(np.int32), np.concatenate(right or empty).astype(np.int32)
 
 
 def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
@@ -118,14 +145,15 @@ class Grammar:
 
     def __init__(self, left: np.ndarray, right: np.ndarray, expands: np.ndarray, symbols: np.ndarray, first: int):
         self.first, self.left, self.right, self.expands, self.symbols = first, left, right, expands, symbols.astype(np.int64)
-        self.upto = np.concatenate([[0], np.cumsum(self.sizes(self.symbols))])
+        self.upto, self.flat = np.concatenate([[0], np.cumsum(self.sizes(self.symbols))]), None
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         out, rule = np.ones(len(symbols), np.int64), symbols >= self.first
         out[rule] = self.expands[symbols[rule] - self.first]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    def opened(self, symbols: np.ndarray) -> np.ndarray:
+        """What symbols stand for, one rule at a time."""
         size = self.sizes(symbols)
         at, out = np.cumsum(size) - size, np.empty(int(size.sum()), np.uint32)
         while len(symbols):  # each round writes what is a terminal and opens the rest by one rule
@@ -136,6 +164,21 @@ class Grammar:
             symbols, at = np.concatenate([left, self.right[symbols]]), np.concatenate([at, at + self.sizes(left)])
         return out
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        size = self.sizes(symbols)
+        to = np.cumsum(size) - size
+        if self.expands.sum() > 2 * (to[-1] + size[-1]):
+            return self.opened(symbols)
+        if self.flat is None:  # the rules are opened once, and looked up
+            self.flat = self.opened(self.first + np.arange(len(self.left)))
+            self.begin = np.cumsum(self.expands) - self.expands
+        out = np.repeat(symbols, size).astype(np.uint32)
+        rule = np.flatnonzero(size > 1)
+        size, begin, to = size[rule], self.begin[symbols[rule] - self.first], to[rule]
+        own = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(to, size) + own] = self.flat[np.repeat(begin, size) + own]
+        return out
+
     def ids(self, a: int = 0, b: int | None = None) -> np.ndarray:
         """ids[a:b], expanding only the symbols that reach into the span."""
         b = int(self.upto[-1]) if b is None else b
