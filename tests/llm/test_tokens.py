@@ -38,12 +38,32 @@ def test_ids_of_every_code_point_and_of_very_long_texts():
     assert ENCODER.encode([long])[0].tolist() == ids_of(long)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abeinorst éüß日0123456789"), max_size=120), max_size=40))
+def test_merged_pieces_are_the_library_s(texts):
+    ids, ends = ENCODER.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [ids_of(t) for t in texts]
+
+
+def test_pieces_may_be_forgotten():
+    encoder = ByteBpe(BYTES, memo=30)
+    for k in range(40):
+        texts = [f"the same words, and {chr(97 + k % 26) * (k + 3)} n{k}", "the same words"]
+        ids, ends = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [ids_of(t) for t in texts]
+    assert len(encoder.known) < 60
+
+
 @settings(max_examples=100, deadline=None)
 @given(BITS, st.integers(0, 6))
 def test_counts_of_every_prefix(text, limit):
     want = [len(x) for x in MODEL.encode([text[:i] for i in range(len(text) + 1)])]
     assert COUNTER.every_prefix(text) == want
-    assert COUNTER.fits(COUNTER.parts(text), limit) == max(i for i, n in enumerate(want) if n <= limit)
+    longest = max(i for i, n in enumerate(want) if n <= limit)
+    assert COUNTER.fits(COUNTER.parts(text), limit) == longest
+    n_tokens, fits = COUNTER.totals([text, "", text + " word", "some words\nin lines"], limit)
+    assert n_tokens[0] == want[-1] and n_tokens[1] == 0 and fits[0] == (longest if want[-1] > limit else len(text))
+    assert n_tokens[2:].tolist() == [len(x) for x in MODEL.encode([text + " word", "some words\nin lines"])]
 
 
 @pytest.mark.parametrize("name", ["odd", "clashing", "documents", "none"])
@@ -98,8 +118,12 @@ def test_packing_of_nothing_and_merging_over_levels(none, documents, monkeypatch
 @given(st.lists(st.integers(0, 5), max_size=300), st.integers(0, 299), st.integers(0, 299))
 def test_grammars_give_back_any_span(ids, a, b):
     symbols, left, right = repair.compress(np.array(ids, np.uint32), first=10, least=2)
-    pairs = Counter(zip(symbols.tolist(), symbols[1:].tolist()))
-    assert all(n < 2 for (x, y), n in pairs.items() if x != y)  # to the end
+    pairs, last = Counter(), None
+    for k, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+        if pair[0] != pair[1] or last != (pair, k - 1):  # overlapping pairs count once
+            pairs[pair] += 1
+            last = (pair, k)
+    assert all(n < 2 for n in pairs.values())  # to the end
     grammar = repair.Grammar(left, right, repair.lengths_of(left, right, 10), symbols, first=10)
     assert grammar.ids().tolist() == ids
     a, b = min(a, len(ids)), min(b, len(ids))
