@@ -49,16 +49,22 @@ def settled(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFram
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFrame:
+#: Rows that a task reads for a table whose size is known about, and files that it has at least.
+TASK_ROWS, TABLE_FILES = 50_000, 4
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The same rows, read from a table in the shared folder; for private columns.
 
+    Where the number of ``rows`` is known about, tasks get about ``TASK_ROWS`` of them, and a small table few files.
+
     A checkpoint would keep the size that its plan was estimated to have, which is a product over joins: after some
     rounds of joins among such results the estimates alone, numbers of millions of digits, stop the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
-    if fewer > 1:
-        df = df.coalesce(max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
+    if rows is not None:
+        df = df.coalesce(max(TABLE_FILES, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-#: Edges are few beside what they were found in.
-FEWER = 16
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the least node it is linked with.
+def components(edges: DataFrame, number: int | None = None) -> DataFrame:
+    """(node, root) for every node of the edges (a, b), about ``number``: root is the least node it is linked with.
 
     Each round every node takes its least neighbour as parent, pointers jump until all stand on nodes
     without a smaller neighbour, and edges are relabelled to these; at least half of the nodes go in
@@ -21,13 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     sides, so a node with very many edges is split.
     Nodes of any orderable type; no edges give no rows.
     """
-    edges, labels = written(edges.filter("a <> b").select("a", "b").distinct(), FEWER, 12), None
+    edges, labels = written(edges.filter("a <> b").select("a", "b").distinct(), number), None
+    number = 2 * edges.count()
     before, kept = edges, None
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), FEWER, 12)
+        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), number)
         while True:
-            further = written(_relabel(parent, parent), FEWER, 12)
+            further = written(_relabel(parent, parent), number)
             discard(parent)
             parent = further
             if further.filter("moved").isEmpty():
@@ -36,11 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels, kept = parent, own
         else:
-            old, kept = kept, written(_relabel(labels, parent).select("node", "root"), FEWER, 12)
+            old, kept = kept, written(_relabel(labels, parent).select("node", "root"), number)
             labels = kept
         for end in ("a", "b"):
             edges = edges.join(parent, edges[end] == parent["node"], "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
-        edges = written(edges.filter("a <> b").distinct(), FEWER, 12)
+        edges = written(edges.filter("a <> b").distinct(), number)
         discard(before, *([own, old] if own is not kept else []))
         before = edges
     discard(before)

@@ -326,7 +326,8 @@ def links(rows: DataFrame, number: int, prints: int = 1, most: int = MOST_BITS,
 
     schema = ", ".join(["key int", "id long", *(f"f{j} long" for j in range(checked))])
     by_key = rows.select("id", *(f"fp{k}" for k in range(prints))).mapInArrow(tidy(keys), schema).repartition("key").sortWithinPartitions("key", "id")
-    found = written(by_key.mapInArrow(tidy(search.run), search.ddl))
+    # a row is dealt to some 11 groups by each fingerprint and compared there; its links are few
+    found = written(by_key.mapInArrow(tidy(search.run), search.ddl), number * prints)
     edges = found.filter("key is null").select(F.col("id").alias("a"), "b")
     crowded = found.filter("key is not null")
     if not crowded.isEmpty():
@@ -337,15 +338,16 @@ def links(rows: DataFrame, number: int, prints: int = 1, most: int = MOST_BITS,
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """(fp, component_id) for every distinct fingerprint of ``rows`` (doc_id, fp)."""
-    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), rows.count())
+    number = least.count()
     # Nodes sort by smallest doc_id; a fingerprint without any comes last.
     node = F.struct(F.coalesce("low", F.lit(2**63 - 1)).alias("low"), "fp")
-    edges = found = links(least.select(F.col("fp").alias("id"), F.col("fp").alias("fp0")), least.count())
+    edges = found = links(least.select(F.col("fp").alias("id"), F.col("fp").alias("fp0")), number)
     for end in ("a", "b"):
         edges = edges.withColumnRenamed(end, "fp").join(least.select("fp", node.alias(end)), "fp").drop("fp")
-    label = components(edges.select("a", "b"))
+    label = components(edges.select("a", "b"), number)
     root = label.select("node.fp", F.col("root.low").alias("root"))
-    out = written(least.join(root, "fp", "left").select("fp", F.coalesce(F.when(F.col("root") < 2**63 - 1, F.col("root")), "low").alias("component_id")))
+    out = written(least.join(root, "fp", "left").select("fp", F.coalesce(F.when(F.col("root") < 2**63 - 1, F.col("root")), "low").alias("component_id")), number)
     discard(label, found, least)
     return out
 
@@ -488,7 +490,8 @@ def decided(rows: DataFrame, least: float) -> DataFrame:
 def agreed(members: DataFrame, texts: DataFrame, width: int, least: float, repeated: bool) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs that agree within a cluster; ``members`` has cluster, id, n, w0, w1."""
     size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
-    large = written(size.filter("blocks > 1"))
+    number = members.count()
+    large = written(size.filter("blocks > 1"), number)
     mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0).cast("int")
     dealt = members.join(large, "cluster", "left").select("w0", "w1", "cluster", "id", "blocks", mine.alias("x"), mine.alias("y"))
     found = texts.select("w0", "w1", "text").join(dealt, ["w0", "w1"])
@@ -503,7 +506,7 @@ def agreed(members: DataFrame, texts: DataFrame, width: int, least: float, repea
     edges = decided(whole, least)
     sets = whole.filter("blocks > 1")
     for last in (False, True):
-        label = components(edges)
+        label = components(edges, number)
         now = written(sets.select("cluster", "id", "blocks", "x").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
         discard(label)
         firsts = now.groupBy("cluster", "root").agg(F.first("blocks").alias("blocks"))
@@ -537,20 +540,22 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     marked = docs.select(*own)
     texts = marked.select(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "w0", "w1", F.col("row.text").cast("string").alias("text"))
     rows = written(sketches(texts, width))
-    repeated = written(rows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1"))
+    number = rows.count()
+    repeated = written(rows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1"), number)
     again = not repeated.isEmpty()
     values = [F.first(c).alias(c) for c in ("n", *(f"fp{k}" for k in range(PRINTS)))]
-    firsts = written(rows.groupBy("h0", "h1").agg(F.min(F.struct("doc", "w0", "w1")).alias("low"), *values).drop("h0", "h1").withColumn("id", F.monotonically_increasing_id()))
-    near = links(firsts, firsts.count(), PRINTS, LOOSE, CHECKED)
-    loose = components(near)
+    firsts = written(rows.groupBy("h0", "h1").agg(F.min(F.struct("doc", "w0", "w1")).alias("low"), *values).drop("h0", "h1").withColumn("id", F.monotonically_increasing_id()), number)
+    number = firsts.count()
+    near = links(firsts, number, PRINTS, LOOSE, CHECKED)
+    loose = components(near, number)
     cluster = loose.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    members = written(firsts.select("id", "n", "low.w0", "low.w1").join(cluster, "id"))
+    members = written(firsts.select("id", "n", "low.w0", "low.w1").join(cluster, "id"), number)
     discard(rows, near, loose)
     found = agreed(members, texts, width, least, again)
-    label = components(found)
+    label = components(found, number)
     root = label.select(F.col("node").alias("id"), "root")
     groups = firsts.select("id", "low").join(root, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("low").alias("low"))
-    stays = written(groups.select("low.w0", "low.w1"))
+    stays = written(groups.select("low.w0", "low.w1"), number)
     discard(members, found, label, firsts)
     kept = marked.join(stays, ["w0", "w1"], "left_semi")
     if again:
