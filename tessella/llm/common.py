@@ -50,7 +50,7 @@ def settled(df: DataFrame, fewer: int = 1, least: int = LEAST_FILES) -> DataFram
 
 
 #: Rows that a task reads for a table whose size is known about, and files that it has at least.
-TASK_ROWS, TABLE_FILES = 50_000, 4
+TASK_ROWS, TABLE_FILES = 10_000, 4
 
 
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
