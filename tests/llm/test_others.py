@@ -159,3 +159,40 @@ def test_recall_on_the_table(spark, size):
         s[ids == q] = -9
         found += len(got[q] & set(ids[np.argsort(-s)[:5]]))
     assert len(got) == (ids % 50 == 0).sum() and found >= 0.9 * 5 * len(got)
+
+
+def rows_of(kind, n=3000, d=16):
+    rng = np.random.default_rng(5)
+    if kind == "one direction":  # no code tells these apart
+        return np.eye(d)[0] + 1e-4 * rng.normal(size=(n, d))
+    if kind == "far queries":  # the queries are like no row of the sample
+        x = np.eye(d)[rng.integers(4, size=n)] + 0.1 * rng.normal(size=(n, d))
+        x[::50] = rng.normal(size=(len(x[::50]), d))
+        return x
+    if kind == "tight groups":
+        return rng.normal(size=(20, d))[rng.integers(20, size=n)] + 1e-3 * rng.normal(size=(n, d))
+    return rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("kind", ["one direction", "far queries", "tight groups", "no structure"])
+@pytest.mark.parametrize("lot", [None, 40])
+def test_nearest_of_any_rows(spark, kind, lot, monkeypatch):
+    if lot:  # many lots, cells over several, queries over several tasks
+        monkeypatch.setattr(ann, "LOT", (lot, lot))
+        monkeypatch.setattr(ann, "QUERIES", 7)
+    x = rows_of(kind)
+    ids = np.arange(len(x))
+    ids[7::100] = ids[8::100]  # several vectors with one id
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(ids[ids % 50 == 0].tolist())
+    for q, near in got.items():
+        best = {}
+        for i, s in zip(ids.tolist(), (unit @ unit[ids == q].T).max(axis=1)):
+            if i != q:
+                best[i] = max(s, best.get(i, -2))
+        want = sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5]
+        assert [i for i, _ in near] == [i for i, _ in want] and np.allclose([s for _, s in near], [s for _, s in want], rtol=0, atol=1e-12)
