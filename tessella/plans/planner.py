@@ -24,7 +24,10 @@ from ..operators import aggregates, windows
 from ..operators.filters import condition, name_of
 from .graph import Graph
 from .query import Dim, FilterGroup, OrderBy, Query, QueryFilter, Select, dim, leaves_of
-from .scope import SEP, Scope, q
+from .scope import SEP, Scope, q, size_of
+
+#: Bytes of a fact in its source that a task gets where rows are counted once, some 25 times as many in memory; and tasks at most.
+TASK_BYTES, MOST_TASKS = 4 << 20, 20_000
 
 Filters = list[QueryFilter | FilterGroup]
 
@@ -192,6 +195,7 @@ class Planner:
     def exists_step(self, scope: Scope, f: QueryFilter) -> None:
         outer, keys, names = self.inner_keys(scope, f)
         cond = reduce(lambda a, b: a & b, [o == q(n) for o, n in zip(outer, names)])
+        scope.moved = True
         scope.steps.append(lambda df: df.join(keys, cond, "left_semi" if f.op == "exists" else "left_anti"))
 
     def exists_mark(self, scope: Scope, f: QueryFilter) -> Column:
@@ -199,6 +203,7 @@ class Planner:
         outer, keys, names = self.inner_keys(scope, f)
         mark = f"__mark{scope.marks}"
         cond = reduce(lambda a, b: a & b, [o == q(n) for o, n in zip(outer, names)])
+        scope.moved = True
         scope.steps.append(lambda df: df.join(keys.distinct().withColumn(mark, F.lit(True)), cond, "left").drop(*names))
         found = F.coalesce(q(mark), F.lit(False))
         return found if f.op == "exists" else ~found
@@ -334,6 +339,8 @@ class Planner:
                     self.warn(f"MIXED_GRAIN: {m.name} reads {', '.join(sorted(mixed))} once per row of {roots[m.name]}")
         keys = {root: self.identity(scope, root) for root in dedup}
         grouped = {root: self.join_columns(scope, root) or own for root, own in keys.items()}
+        if dedup:
+            scope.tasks = self.tasks(base)
         df = scope.frame()
         arg = lambda m: [f"{m.name}{SEP}{i}" for i in range(len(args[m.name]))]
         main = [m for m in measures if not any(m in ms for ms in dedup.values())]
@@ -351,24 +358,36 @@ class Planner:
             return rows.groupBy(*map(q, labels)).agg(*map(agg, main)) if main else rows.select(*map(q, labels)).distinct() if labels else rows.limit(0)
         for root, ms in dedup.items():
             self.plan.steps.append(f"count rows of {root} once for {', '.join(m.name for m in ms)}")
-        one = self.in_one_pass(rows, labels, main, dedup, key_names, arg, self.chain(scope, dedup))
+        # rows lie as the last large join has dealt them
+        there_already = [root for root in dedup if scope.dealt and scope.dealt == scope.path_of(root) and self.join_columns(scope, root)]
+        dealt = lambda df, root: df.repartition(scope.tasks, *map(q, key_names[root])) if scope.tasks and root not in there_already else df
+        one = self.in_one_pass(rows, labels, main, dedup, key_names, arg, self.chain(scope, dedup), dealt)
         if one is not None:
             return one
         out = rows.groupBy(*map(q, labels)).agg(*map(agg, main)) if main else rows.select(*map(q, labels)).distinct() if labels else None
         for root, ms in dedup.items():
             firsts = [F.any_value(q(a)).alias(a) for m in ms for a in arg(m)]
-            once = rows.filter(q(f"{SEP}{root}{SEP}there")).groupBy(*map(q, labels), *map(q, key_names[root])).agg(*firsts)
+            once = dealt(rows.filter(q(f"{SEP}{root}{SEP}there")), root).groupBy(*map(q, labels), *map(q, key_names[root])).agg(*firsts)
             part = once.groupBy(*map(q, labels)).agg(*map(agg, ms))
             out = part if out is None else self.joined(out, part, [m.name for m in ms])
         return out
 
+    def tasks(self, obj: str) -> int:
+        """Tasks that an object's rows ask for where others are counted once by key; 0 if these are no more than cores, or the size isn't known."""
+        while self.model.data_objects[obj].nested_in:
+            obj = self.model.data_objects[obj].nested_in.data_object
+        df = self.tables(self.model.data_objects[obj])
+        size = size_of(df)
+        n = 0 if size is None else min(MOST_TASKS, -(-size // TASK_BYTES))
+        return n if n > df.sparkSession.sparkContext.defaultParallelism else 0
+
     def chain(self, scope: Scope, roots) -> list[str] | None:
         """The objects from the nearest to the farthest, if each lies on the way to the next."""
-        path = {root: next(p for p, n in scope.instances.items() if n == scope.instance(root)) for root in roots}
+        path = {root: scope.path_of(root) for root in roots}
         out = sorted(path, key=lambda r: len(path[r]))
         return out if all(path[b][: len(path[a])] == path[a] for a, b in zip(out, out[1:])) else None
 
-    def in_one_pass(self, rows: DataFrame, labels: list[str], main: list[Measure], dedup: dict, key_names: dict, arg, chain: list[str] | None) -> DataFrame | None:
+    def in_one_pass(self, rows: DataFrame, labels: list[str], main: list[Measure], dedup: dict, key_names: dict, arg, chain: list[str] | None, dealt: Callable) -> DataFrame | None:
         """All grains from one scan: partial results by (dimensions, key of the nearest object), then by the next one's key,
         then the whole.  For objects in a chain and results that add up."""
         if chain is None or any(m.aggregation not in aggregates.OUTER or m.distinct for m in (*main, *(m for root in chain[:-1] for m in dedup[root]))):
@@ -396,7 +415,7 @@ class Planner:
         for i, root in enumerate(chain):
             carried = [x for r in chain[i:] for x in (there(r), *(a for m in dedup[r] for a in arg(m)))] + [k for r in chain[i + 1 :] for k in key_names[r]]
             made = [c for m in raw for c in first(m)] + [c for m in partial for c in more(m)] + [F.any_value(q(x)).alias(x) for x in carried]
-            part = part.groupBy(*map(q, labels), *map(q, key_names[root])).agg(*made)
+            part = dealt(part, root).groupBy(*map(q, labels), *map(q, key_names[root])).agg(*made)
             # what rows without the object say about it doesn't count
             for m in dedup[root]:
                 part = part.withColumns({a: F.when(q(there(root)), q(a)) for a in arg(m)})
@@ -438,7 +457,7 @@ class Planner:
     def join_columns(self, scope: Scope, root: str) -> list[Column] | None:
         """The fact's own columns that name the row of ``root``, if one join by its key leads there: rows stay where the
         join has put them."""
-        path = next(p for p, n in scope.instances.items() if n == scope.instance(root))
+        path = scope.path_of(root)
         names = self.model.data_objects[root].key
         if len(path) != 1 or path[0].nested or path[0].path_name == "nested" or names and set(names) != set(path[0].end_columns):
             return None
@@ -497,6 +516,7 @@ class Planner:
         names = [f"{name}{SEP}k{i}" for i in range(len(keys))]
         total = inner.frame().groupBy(*(k.alias(n) for k, n in zip(keys, names))).agg(F.sum(value).alias(name))
         cond = reduce(lambda a, b: a & b, [x == q(n) for x, n in zip(left, names)])
+        scope.moved = True
         scope.steps.append(lambda df: df.join(total, cond, "left").drop(*names))
 
     def union(self, measures: list[Measure], roots: dict[str, str], filters: Filters, pop) -> DataFrame:

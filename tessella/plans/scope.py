@@ -21,6 +21,19 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def size_of(df: DataFrame) -> int | None:
+    """Bytes that Spark estimates for a frame; None if it knows nothing."""
+    plan = getattr(df, "_jdf", None)
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) if plan is not None else 1 << 63
+    return size if size < 1 << 60 else None
+
+
+def broadcast(df: DataFrame) -> bool:
+    """Whether Spark is going to send a frame to all executors, as far as can be told."""
+    size, most = size_of(df), df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size is not None and size <= most
+
+
 class Scope:
     """The rows of ``root`` with what they determine.  ``tables`` gives the frame of a data object."""
 
@@ -29,6 +42,9 @@ class Scope:
         self.instances: dict[Path, str] = {(): root}
         self.steps: list = []  # applied to the joined frame in order
         self.marks = 0
+        self.tasks = 0  # that large joins deal the rows to; 0: the session's
+        self.dealt: Path = ()  # the join by whose columns rows lie in these tasks
+        self.moved = False  # whether a step deals them anew
 
     def instance(self, obj: str, via: str | None = None, path: Path | None = None) -> str:
         if path is None:
@@ -41,6 +57,10 @@ class Scope:
                 self.instances[path[:n]] = end if end not in taken else f"{end}@{len(taken)}"
         return self.instances[path]
 
+    def path_of(self, obj: str) -> Path:
+        instance = self.instance(obj)
+        return next(p for p, n in self.instances.items() if n == instance)
+
     def column(self, obj: str, name: str, via: str | None = None) -> Column:
         return self.of(self.instance(obj, via), obj, self.model.column(obj, name))
 
@@ -130,9 +150,13 @@ class Scope:
                 cond = on[0]
                 for x in on[1:]:
                     cond = cond & x
-                df = df.join(self.scan(edge.end, instance), cond, "inner" if self.inner or edge.required else "left")
+                other = self.scan(edge.end, instance)
+                if self.tasks and not broadcast(other) and [t for _, t in df.select(*left).dtypes] == [t for _, t in other.select(*right).dtypes]:
+                    df, self.dealt = df.repartition(self.tasks, *left), path
+                df = df.join(other, cond, "inner" if self.inner or edge.required else "left")
         for step in self.steps:
             df = step(df)
+        self.dealt = () if self.moved else self.dealt
         return df
 
     def check_fanout(self, allowed: bool) -> None:

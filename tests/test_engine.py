@@ -1,5 +1,8 @@
 """The semantic engine against DuckDB, its own invariants, and its refusals."""
 
+import re
+from pathlib import Path
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -243,6 +246,26 @@ def test_both_grains_in_one_pass_equal_two(engine):
     assert one.df._jdf.queryExecution().toString().count("lineitem.parquet") <= 4  # once in each of the four plans
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+@pytest.mark.parametrize("name", ["dedup_one_side", "dedup_two_objects", "metric_across_grains"])
+def test_rows_counted_once_take_tasks_by_the_size_of_the_fact(spark, sf, oracle, name, threshold, monkeypatch):
+    from tessella.plans import planner
+
+    monkeypatch.setattr(planner, "TASK_BYTES", 4096, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = QUERIES[name](spark, sf)
+        sorts = df._jdf.queryExecution().executedPlan().toString()
+        con = oracle.execute(ORACLE[name])
+        assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in con.description], con.fetchall())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    size = Path(sf, "lineitem.parquet").stat().st_size
+    keyed = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", sorts)
+    by_key = [int(n) for k, n in keyed if re.search(r"Order Key|Cust Key|Orders.{1,3}0|Customer.{1,3}0", k)]
+    assert by_key and set(by_key) == {-(-size // 4096)}
+
+
 def test_periods_share_one_aggregation(engine):
     df = engine.query({"select": {"dimensions": ["Order Month"], "measures": ["Order Value", "Value Month Ago", "Value Year Ago"]}})
     assert df._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 4
